@@ -5,9 +5,47 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, sharding
+from . import langid, mixing, neardup, pieces, quality, secretscan, sharding, topk, warc
 from .shared import table
 
+#: The public vocabulary that op7 and the pipeline use; other models by parameter.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secretscan.find(docs, secretscan.train(docs))
+    return found.select("doc_id", *[c.alias(k) for k, c in secretscan.digest().items()])
+
+
+def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.near_duplicates(table(spark, sf_dir, "documents"), k=4)
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).drop("target_uri")
+
+
+def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pieces.encode(docs, pieces.load(PIECES))
+    ids = F.concat_ws(",", F.col("pieces.ids").cast("array<string>"))
+    return found.select("doc_id", F.size("pieces.ids").cast("long").alias("n_pieces"), F.sha2(ids, 256).alias("ids_sha256"), "pieces.round_trip")
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return mixing.mix(docs, mixing.number_domain(), mixing.WEIGHTS).select("doc_id", "_mix.*")
+
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
@@ -19,7 +57,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "m.n_words", "m.word_chars", "m.n_symbols", "m.n_dup_lines", "m.n_repeat_words", quality.base_failed(m).alias("base_failed"), quality.kept(m).alias("kept"))
 
 
-QUERIES = {"op8_sharding": op8_sharding, "op9_quality": op9_quality}
+QUERIES = {"op1_langid": op1_langid, "op3_secrets": op3_secrets, "op4_neardup": op4_neardup, "op5_topk": op5_topk, "op6_warc": op6_warc, "op7_pieces": op7_pieces, "op10_mixing": op10_mixing, "op8_sharding": op8_sharding, "op9_quality": op9_quality}
 
 def _op9_sql() -> str:
     marks, covers, sums, limits = [], [], [], []
