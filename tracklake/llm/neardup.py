@@ -13,7 +13,9 @@ and stop at the latest register, so a sketch costs about n + M log M operations.
    estimate above a margin under it; then the full sets are compared.
 4. Connected components of the links. Buckets that still hold several components are looked at once more:
    there, pairs of classes of different components are candidates, which the same steps decide. Pairs
-   inside a component need no look, so a large group of near copies costs no square of its size.
+   inside a component need no look. Of the others, the join passes only those whose hash bitmaps differ in
+   no more bits than similar sets can: the differing bits never outnumber the differing elements, so this
+   drops no link, and a group of texts that are near but not similar gives few rows.
 
 A pair of similarity 0.8 shares no band with probability (1 - 0.8**ROWS)**BANDS, under 3e-6.
 
@@ -43,6 +45,9 @@ BASE, RATE, TOP = 1.001, 20.0, 65_535
 #: The estimate's standard error at 0.8 is 0.025; candidates over five of them lower are dropped.
 MARGIN = 0.13
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
+#: Bits of the bitmap that stands behind the registers.
+BITS = 2048
+_WIDTH = M + BITS // 16
 
 
 def shingles(text: str | None, k: int) -> np.ndarray:
@@ -72,6 +77,13 @@ def sketch(elements: np.ndarray) -> np.ndarray:
     return np.clip(np.floor(1 - np.log(first / RATE) / math.log(BASE)), 0, TOP).astype(np.uint16)
 
 
+def bitmap(elements: np.ndarray) -> np.ndarray:
+    """BITS bits, each set where an element's hash falls, as 16-bit numbers."""
+    seen = np.zeros(BITS, np.uint8)
+    seen[(elements >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64)] = 1
+    return np.packbits(seen).view(np.uint16)
+
+
 def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The sketch of the union of two sets."""
     return np.maximum(a, b)
@@ -115,7 +127,7 @@ def _sketches(k: int):
                 s = shingles(t.as_py(), k)
                 if s.size:
                     h1, h2 = int(W.mix(s).sum(dtype=np.uint64)), int(W.mix(s ^ _GOLD).sum(dtype=np.uint64))
-                    rows.append((s.size, h1 - 2**63, h2 - 2**63, sketch(s).tobytes()))
+                    rows.append((s.size, h1 - 2**63, h2 - 2**63, sketch(s).tobytes() + bitmap(s).tobytes()))
                 else:
                     rows.append((0, 0, 0, b""))
             n, h1, h2, registers = zip(*rows, strict=True) if rows else ((),) * 4
@@ -125,7 +137,14 @@ def _sketches(k: int):
 
 
 def _registers(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), M)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), _WIDTH)[:, :M]
+
+
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def _bitmaps(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for column in batches:
+        bits = np.ascontiguousarray(np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), _WIDTH)[:, M:]).view(np.int64)
+        yield pa.ListArray.from_arrays(pa.array(np.arange(0, bits.size + 1, BITS // 64, dtype=np.int32)), pa.array(bits.ravel()))
 
 
 @F.arrow_udf(T.ArrayType(T.LongType()))
@@ -191,11 +210,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, text: str =
     of = cut(of)
     several = of.groupBy("k").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
     several = several.select(rekey(F.col("k"), "bigint").alias("bucket"))
-    sizes = classes.select(F.col("cid").alias("id"), "n")
+    sizes = classes.select(F.col("cid").alias("id"), "n", "registers")
     rest = of.join(several, of["k"] == several["bucket"], "left_semi").join(sizes, of["cid"] == sizes["id"]).drop("id")
-    rest = cut(rest)
-    one = rest.select(F.col("k").alias("k1"), F.col("cid").alias("c"), F.col("component").alias("m1"), F.col("n").alias("n1"))
+    rest = cut(rest.withColumn("bits", _bitmaps("registers")).drop("registers"))
+    one = rest.select(F.col("k").alias("k1"), F.col("cid").alias("c"), F.col("component").alias("m1"), F.col("n").alias("n1"), F.col("bits").alias("bits1"))
     able = F.lit(100) * F.least("n", "n1") >= F.lit(percent) * F.greatest("n", "n1")
+    differing = F.expr(" + ".join(f"bit_count(bits[{i}] ^ bits1[{i}])" for i in range(BITS // 64)))
+    # similar sets differ in at most (100 - percent) / (100 + percent) of the sum of their sizes
+    able = able & (F.lit(100 + percent) * differing <= F.lit(100 - percent) * (F.col("n") + F.col("n1")))
     pairs = rest.join(one, (F.col("k") == F.col("k1")) & (F.col("m1") < F.col("component")) & able).select("c", "cid").distinct()
     seen = stars.select(F.least("c", "cid").alias("s1"), F.greatest("c", "cid").alias("s2"))
     pairs = pairs.join(seen, (F.least("c", "cid") == F.col("s1")) & (F.greatest("c", "cid") == F.col("s2")), "left_anti")

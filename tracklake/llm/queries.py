@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, neardup, pieces, quality, secretscan, sharding, topk, warc
+from . import langid, mixing, neardup, pieces, quality, secretscan, sharding, topk, urls, warc
 from .shared import table
 
 #: The public vocabulary that op7 and the pipeline use; other models by parameter.
@@ -16,6 +16,10 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages")).drop("url")
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = secretscan.find(docs, secretscan.train(docs))
@@ -57,7 +61,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "m.n_words", "m.word_chars", "m.n_symbols", "m.n_dup_lines", "m.n_repeat_words", quality.base_failed(m).alias("base_failed"), quality.kept(m).alias("kept"))
 
 
-QUERIES = {"op1_langid": op1_langid, "op3_secrets": op3_secrets, "op4_neardup": op4_neardup, "op5_topk": op5_topk, "op6_warc": op6_warc, "op7_pieces": op7_pieces, "op10_mixing": op10_mixing, "op8_sharding": op8_sharding, "op9_quality": op9_quality}
+QUERIES = {"op1_langid": op1_langid, "op2_urls": op2_urls, "op3_secrets": op3_secrets, "op4_neardup": op4_neardup, "op5_topk": op5_topk, "op6_warc": op6_warc, "op7_pieces": op7_pieces, "op10_mixing": op10_mixing, "op8_sharding": op8_sharding, "op9_quality": op9_quality}
 
 def _op9_sql() -> str:
     marks, covers, sums, limits = [], [], [], []

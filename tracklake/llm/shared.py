@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import tempfile
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
@@ -18,20 +18,6 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package's code to the executors' Python workers, once for each application."""
-    sc = spark.sparkContext
-    if getattr(sc, "_shipped_package", None):
-        return
-    package = Path(__file__).resolve().parents[1]
-    target = Path(tempfile.mkdtemp(prefix="code-")) / f"{package.name}_code.zip"
-    with zipfile.ZipFile(target, "w") as out:
-        for path in sorted(package.rglob("*.py")):
-            out.write(path, str(path.relative_to(package.parent)))
-    sc.addPyFile(str(target))
-    sc._shipped_package = str(target)
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and read it from there: later jobs start from that copy."""
     shared_dir(df.sparkSession)
