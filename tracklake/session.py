@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -27,3 +30,17 @@ def get_session(app: str = "tracklake", master: str | None = None, **conf: str)
     for key, value in (SEMANTICS | conf).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package's code to the executors' Python workers, once for each application."""
+    sc = spark.sparkContext
+    if getattr(sc, "_shipped_package", None):
+        return
+    package = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="code-")) / f"{package.name}_code.zip"
+    with zipfile.ZipFile(target, "w") as out:
+        for path in sorted(package.rglob("*.py")):
+            out.write(path, str(path.relative_to(package.parent)))
+    sc.addPyFile(str(target))
+    sc._shipped_package = str(target)
