@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 def fixed(x: Column, decimals: int = 0, plus: bool = False) -> Column:
     """x with so many decimals, ties to even as in binary floating-point formatting; a sign for plus."""
-    text = F.format_string(("%+" if plus else "%") + f".{decimals}f", F.bround(x, decimals).cast("double"))
+    sign = F.when(x < 0, "-").otherwise("+" if plus else "")  # also of a number that rounds to zero
+    text = F.concat(sign, F.format_string(f"%.{decimals}f", F.abs(F.bround(x, decimals)).cast("double")))
     return F.when(x.isNull(), None).otherwise(text)
 
 

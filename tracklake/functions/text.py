@@ -120,7 +120,7 @@ def choice(text: Column) -> Column:
 
 def tags(text: Column) -> Column:
     """The distinct parts between semicolons, trimmed and lower-cased."""
-    return F.array_distinct(F.filter(F.transform(F.split(F.lower(F.coalesce(text, F.lit(""))), ";"), F.trim), lambda t: t != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(F.lower(F.coalesce(text, F.lit(""))), ";"), lambda t: F.trim(t)), lambda t: t != ""))
 
 
 def claim_words(text: Column) -> Column:
