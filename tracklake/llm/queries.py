@@ -63,21 +63,30 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op1_langid": op1_langid, "op2_urls": op2_urls, "op3_secrets": op3_secrets, "op4_neardup": op4_neardup, "op5_topk": op5_topk, "op6_warc": op6_warc, "op7_pieces": op7_pieces, "op10_mixing": op10_mixing, "op8_sharding": op8_sharding, "op9_quality": op9_quality}
 
+_WORDS = r"list_filter(regexp_split_to_array({0}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+
 def _op9_sql() -> str:
-    marks, covers, sums, limits = [], [], [], []
+    """Windows of n words are joined from leading words; a window that occurs twice marks all its words."""
+    pieces, grams, marks, covers, sums, limits = [], [], [], [], [], []
+    for i in range(1, 10):
+        pieces.append(f"lead(w, {i}) OVER d AS w{i}")
     for n, limit in quality.NGRAM_LIMITS.items():
-        marks.append(f"CASE WHEN i + {n} - 1 <= n AND count(*) OVER (PARTITION BY doc_id, CASE WHEN i + {n} - 1 <= n THEN array_to_string(ws[i:i + {n} - 1], ' ') ELSE 'x' || i || ' ' END) > 1 THEN 1 ELSE 0 END AS d{n}")
+        grams.append("CASE WHEN w" + str(n - 1) + " IS NOT NULL THEN concat_ws(' ', w, " + ", ".join(f"w{i}" for i in range(1, n)) + f") END AS g{n}")
+        marks.append(f"CASE WHEN g{n} IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, g{n}) > 1 THEN 1 ELSE 0 END AS d{n}")
         covers.append(f"max(d{n}) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS c{n}")
         sums.append(f"sum(length(w) * c{n}) AS s{n}")
         limits.append(f"coalesce(s{n}, 0) <= {limit} * coalesce(word_chars, 0)")
-    return f"""
+    return rf"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM t),
-p AS (SELECT doc_id, ws, len(ws) AS n, unnest(range(1, len(ws) + 1)) AS i FROM w),
-g AS (SELECT doc_id, i, ws[i] AS w, {", ".join(marks)} FROM p),
-c AS (SELECT doc_id, w, {", ".join(covers)} FROM g),
+l0 AS (SELECT doc_id, {_WORDS.format("text")} AS ws FROM t),
+p AS (SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM l0),
+q AS (SELECT doc_id, i, w, {", ".join(pieces)} FROM p WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+g AS (SELECT doc_id, i, w, {", ".join(grams)} FROM q),
+m AS (SELECT doc_id, i, w, {", ".join(marks)} FROM g),
+c AS (SELECT doc_id, w, {", ".join(covers)} FROM m),
 s AS (SELECT doc_id, count(*) AS n_words, sum(length(w)) AS word_chars, sum(c5) AS n_repeat_words, {", ".join(sums)} FROM c GROUP BY doc_id),
-l AS (SELECT doc_id, line, unnest(range(1, count(*) + 1)) AS k, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM t) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id, line),
+l AS (SELECT doc_id, line, unnest(range(1, count(*) + 1)) AS k FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM t) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id, line),
 d AS (SELECT doc_id, count(*) AS n_lines, sum((k > 1)::int) AS n_dup_lines, sum((k > 1)::int * length(line)) AS dup_line_chars FROM l GROUP BY doc_id),
 j AS (SELECT doc_id, coalesce(n_words, 0)::bigint AS n_words, coalesce(word_chars, 0)::bigint AS word_chars,
  length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::bigint AS n_symbols, coalesce(n_dup_lines, 0)::bigint AS n_dup_lines, coalesce(n_repeat_words, 0)::bigint AS n_repeat_words,
@@ -87,4 +96,59 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
  NOT base_failed AND dup_line_chars <= {quality.LINE_CHAR_LIMIT} * word_chars AND n_dup_lines <= {quality.LINE_LIMIT} * n_lines AND {" AND ".join(limits)} AS kept FROM b"""
 
 
-ORACLES = {"op9_quality": _op9_sql()}
+_OP4_SQL = rf"""
+WITH RECURSIVE t AS (SELECT doc_id, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS ws FROM documents),
+p AS (SELECT doc_id, len(ws) AS n, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM t),
+q AS (SELECT doc_id, n, i, w, lead(w, 1) OVER d AS b, lead(w, 2) OVER d AS c, lead(w, 3) OVER d AS e FROM p WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+s AS (SELECT DISTINCT doc_id, concat_ws(' ', w, b, c, e) AS sh FROM q WHERE i <= greatest(n - 3, 1)),
+k AS (SELECT doc_id, count(*) AS size FROM s GROUP BY doc_id),
+j AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM s x JOIN s y ON x.sh = y.sh AND x.doc_id < y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM j JOIN k ka ON ka.doc_id = a JOIN k kb ON kb.doc_id = b WHERE 100 * common >= 80 * (ka.size + kb.size - common)),
+sym AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(a, b) AS (SELECT a, b FROM sym UNION SELECT r.a, s.b FROM reach r JOIN sym s ON r.b = s.a),
+c AS (SELECT a, min(b) AS low FROM reach GROUP BY a)
+SELECT t.doc_id, coalesce(size, 0)::bigint AS n_shingles, least(t.doc_id, coalesce(low, t.doc_id)) AS component_id, t.doc_id = least(t.doc_id, coalesce(low, t.doc_id)) AS kept
+FROM t LEFT JOIN k USING (doc_id) LEFT JOIN c ON c.a = t.doc_id"""
+
+_OP5_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(1, least(len(q.e), len(c.e)) + 1), lambda i: q.e[i] * c.e[i]))::bigint AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::int AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 20"""
+
+_OP6_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS first FROM p),
+d AS (SELECT *, list_transform(range(0, 8), lambda k: ('0x' || substr(hex, 5 * k::int + 1, 5))::bigint) AS parts FROM f)
+SELECT page_id, strlen(html)::bigint AS payload_bytes, array_to_string(list_transform(parts, lambda v: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (v // 32768)::int + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v // 1024) % 32)::int + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v // 32) % 32)::int + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (v % 32)::int + 1, 1)), '') AS payload_digest,
+ CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM d"""
+
+
+def _fill_sql(name: str, rows: str, parent: str, child: str, weight: str) -> str:
+    """Water-filling of ``given`` among the children (capacity) of each parent, as common table expressions."""
+    part = f"PARTITION BY {parent}" if parent else ""
+    order = f"{part} ORDER BY weight = 0, capacity / greatest(weight, 1), {child}"
+    return f"""{name}0 AS (SELECT *, ({weight})::bigint AS weight FROM ({rows})),
+{name}1 AS (SELECT *, coalesce(sum(capacity) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent, sum(weight) OVER ({order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ws FROM {name}0),
+{name}2 AS (SELECT *, capacity::hugeint * ws <= weight::hugeint * (given - spent) AND weight > 0 AS filled FROM {name}1),
+{name}3 AS (SELECT *, given - coalesce(sum(CASE WHEN filled THEN capacity END) OVER ({part}), 0) AS remaining, coalesce(sum(CASE WHEN NOT filled THEN weight END) OVER ({part}), 0) AS open FROM {name}2),
+{name} AS (SELECT *, (CASE WHEN filled THEN capacity ELSE least(capacity, CASE WHEN open > 0 THEN (weight::hugeint * remaining::hugeint) // open::hugeint ELSE 0 END) END)::bigint AS budget FROM {name}3)"""
+
+
+def _weight_sql(level: str) -> str:
+    return f"CASE {level} " + " ".join(f"WHEN '{k}' THEN {w}" for k, w in mixing.WEIGHTS.get(level, {}).items()) + " ELSE 1 END" if mixing.WEIGHTS.get(level) else "1"
+
+
+_OP10_SQL = rf"""
+WITH d AS (SELECT doc_id, CASE WHEN regexp_extract(source, '([0-9]{{1,9}})$', 1) = '' THEN 'other' ELSE ['web', 'books', 'code'][(regexp_extract(source, '([0-9]{{1,9}})$', 1)::int % 3) + 1] END AS domain,
+ coalesce(lang, 'unknown') AS lang, coalesce(source, 'unknown') AS source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint AS n_tokens FROM documents),
+leaf AS (SELECT domain, lang, source, sum(n_tokens)::bigint AS n_tokens, (2 * sum(n_tokens))::bigint AS capacity FROM d GROUP BY ALL),
+{_fill_sql("a", "SELECT domain, sum(capacity) AS capacity, least((SELECT sum(n_tokens) * 50 // 100 FROM leaf), (SELECT sum(capacity) FROM leaf)) AS given FROM leaf GROUP BY domain", "", "domain", _weight_sql("domain"))},
+{_fill_sql("b", "SELECT leaf.domain, lang, sum(leaf.capacity) AS capacity, any_value(a.budget) AS given FROM leaf JOIN a USING (domain) GROUP BY leaf.domain, lang", "domain", "lang", _weight_sql("lang"))},
+{_fill_sql("c", "SELECT leaf.domain, leaf.lang, source, n_tokens, leaf.capacity, b.budget AS given FROM leaf JOIN b ON b.domain = leaf.domain AND b.lang = leaf.lang", "domain, lang", "source", "1")},
+e AS (SELECT d.*, CASE WHEN c.n_tokens > 0 THEN budget // c.n_tokens ELSE 0 END AS passes, budget - CASE WHEN c.n_tokens > 0 THEN budget // c.n_tokens ELSE 0 END * c.n_tokens AS rest FROM d JOIN c ON d.domain = c.domain AND d.lang = c.lang AND d.source = c.source),
+f AS (SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('19|' || passes || '|' || doc_id), n_tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM e),
+g AS (SELECT *, rest > 0 AND before < rest AS reached, least(n_tokens, rest - before) AS taken FROM f)
+SELECT doc_id, domain, lang, source, n_tokens, (passes + (reached AND taken = n_tokens)::int)::bigint AS copies, CASE WHEN reached AND taken < n_tokens THEN taken ELSE 0 END::bigint AS prefix_tokens FROM g"""
+
+ORACLES = {"op4_neardup": _OP4_SQL, "op5_topk": _OP5_SQL, "op6_warc": _OP6_SQL, "op9_quality": _op9_sql(), "op10_mixing": _OP10_SQL}
