@@ -104,16 +104,17 @@ def mix(docs: DataFrame, domain: Column, weights: dict[str, dict[str, int]], per
     inside = inside.where("start < rest").withColumn("taken", F.expr("least(n_tokens, rest - start)"))
     ends = inside.groupBy("leaf").agg(F.max(F.struct("key", "n_tokens", "taken")).alias("end"))
     found = found.join(ends.select(F.col("leaf").alias("l"), "end"), F.col("of") == F.col("l"), "left").drop("l")
-    found = cut(found.select(rekey(F.col("of"), "string").alias("of"), "passes", "end"))
+    found = cut(found.select(rekey(F.col("of"), "string").alias("_of"), F.col("passes").alias("_passes"), F.col("end").alias("_stop")))
     rows = rows.withColumn("_leaf", leaf("_mix."))
-    rows = rows.join(found, rows["_leaf"] == found["of"], "left")
-    mine = F.struct(_key(F.col("passes"), F.col("doc_id"), seed).alias("key"), F.col("_mix.n_tokens").alias("n_tokens"))
-    rows = rows.withColumn("_mine", mine).withColumn("_end", F.struct("end.key", "end.n_tokens"))
-    whole = F.col("end").isNotNull() & ((F.col("_mine") < F.col("_end")) | ((F.col("_mine") == F.col("_end")) & (F.col("end.taken") == F.col("end.n_tokens"))))
-    part = F.when(F.col("end").isNotNull() & (F.col("_mine") == F.col("_end")) & (F.col("end.taken") < F.col("end.n_tokens")), F.col("end.taken"))
-    copies = F.coalesce(F.col("passes"), F.lit(0)) + whole.cast("long")
+    rows = rows.join(found, rows["_leaf"] == found["_of"], "left")
+    stop, mine = F.col("_stop"), F.struct(_key(F.col("_passes"), F.col("doc_id"), seed).alias("key"), F.col("_mix.n_tokens").alias("n_tokens"))
+    rows = rows.withColumn("_mine", mine).withColumn("_last", F.struct(stop["key"].alias("key"), stop["n_tokens"].alias("n_tokens")))
+    at_end, cut_off = F.col("_mine") == F.col("_last"), stop["taken"] < stop["n_tokens"]
+    whole = stop.isNotNull() & ((F.col("_mine") < F.col("_last")) | (at_end & ~cut_off))
+    part = F.when(stop.isNotNull() & at_end & cut_off, stop["taken"])
+    copies = F.coalesce(F.col("_passes"), F.lit(0)) + whole.cast("long")
     rows = rows.withColumn("_mix", F.col("_mix").withField("copies", copies).withField("prefix_tokens", F.coalesce(part, F.lit(0))))
-    return rows.drop("_leaf", "of", "passes", "end", "_mine", "_end")
+    return rows.drop("_leaf", "_of", "_passes", "_stop", "_mine", "_last")
 
 
 def number_domain(source: str = "source") -> Column:
