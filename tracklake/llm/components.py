@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, rekey
+from .shared import rekey, restart
 
 
 def _with_min(edges: DataFrame, kind: str) -> DataFrame:
@@ -34,7 +34,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     """
     kind = links.schema[a].dataType.simpleString()
     edges = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
-    edges = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    edges = restart(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = _state(edges)
     if not before[0]:
         return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
@@ -44,7 +44,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         small = _with_min(large, kind)
         # every neighbour, and the node itself, moves to the smallest neighbour
         moved = small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-        edges = cut(moved.select("e.u", "e.v").where("u <> v").distinct())
+        edges = restart(moved.select("e.u", "e.v").where("u <> v").distinct())
         after = _state(edges)
         if after == before:
             break

@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 
 from . import words as W
 from .components import components
-from .shared import cut, rekey
+from .shared import rekey, restart
 
 M, ROWS, BANDS = 256, 6, 42
 #: Base of the register scale, rate of the arrivals, largest register.
@@ -183,7 +183,7 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, pe
     near = pairs.join(two, pairs["cid"] == two["c2"]).drop("c2").join(one, pairs["c"] == one["c1"]).drop("c1")
     near = near.where(F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb"))
     near = near.withColumn("j", _estimates("na", "ra", "nb", "rb")).where(F.col("j") >= percent / 100 - MARGIN)
-    near = cut(near.select("c", "cid", "na", "nb", "rep_a", "rep_b"))
+    near = restart(near.select("c", "cid", "na", "nb", "rep_a", "rep_b"))
     texts = docs.select(F.col("doc_id").alias("id"), F.col(text).alias("t"))
     near = near.join(texts.withColumnsRenamed({"id": "id_b", "t": "text_b"}), F.col("rep_b") == F.col("id_b"))
     near = near.join(texts.withColumnsRenamed({"id": "id_a", "t": "text_a"}), F.col("rep_a") == F.col("id_a"))
@@ -195,24 +195,24 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, pe
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
     """docs (with doc_id and a text column) and two columns more: n_shingles, component_id."""
     size = docs.select("doc_id", _sketches(k)(text).alias("s")).select("doc_id", "s.*")
-    size = cut(size)
+    size = restart(size)
     classes = size.where("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2", "n", "registers").agg(F.min("doc_id").alias("rep"))
-    classes = cut(classes.withColumn("cid", F.monotonically_increasing_id()))
+    classes = restart(classes.withColumn("cid", F.monotonically_increasing_id()))
     members = classes.select("cid", F.explode(_keys("registers")).alias("k"))
     buckets = members.groupBy("k").agg(F.min("cid").alias("c"), F.count("*").alias("size")).where("size > 1")
     buckets = buckets.select(rekey(F.col("k"), "bigint").alias("bucket"), "c")
-    shared = cut(members.join(buckets, members["k"] == buckets["bucket"]).select("k", "cid", "c"))
-    stars = cut(shared.where("cid <> c").select("c", "cid").distinct())
-    links = cut(_confirmed(stars, classes, docs, k, percent, text))
+    shared = restart(members.join(buckets, members["k"] == buckets["bucket"]).select("k", "cid", "c"))
+    stars = restart(shared.where("cid <> c").select("c", "cid").distinct())
+    links = restart(_confirmed(stars, classes, docs, k, percent, text))
     joined = components(links)
     # buckets that hold several components: pairs across them
     of = shared.join(joined, shared["cid"] == joined["node"], "left").select("k", "cid", F.coalesce("component", "cid").alias("component"))
-    of = cut(of)
+    of = restart(of)
     several = of.groupBy("k").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
     several = several.select(rekey(F.col("k"), "bigint").alias("bucket"))
     sizes = classes.select(F.col("cid").alias("id"), "n", "registers")
     rest = of.join(several, of["k"] == several["bucket"], "left_semi").join(sizes, of["cid"] == sizes["id"]).drop("id")
-    rest = cut(rest.withColumn("bits", _bitmaps("registers")).drop("registers"))
+    rest = restart(rest.withColumn("bits", _bitmaps("registers")).drop("registers"))
     one = rest.select(F.col("k").alias("k1"), F.col("cid").alias("c"), F.col("component").alias("m1"), F.col("n").alias("n1"), F.col("bits").alias("bits1"))
     able = F.lit(100) * F.least("n", "n1") >= F.lit(percent) * F.greatest("n", "n1")
     differing = F.expr(" + ".join(f"bit_count(bits[{i}] ^ bits1[{i}])" for i in range(BITS // 64)))
@@ -221,12 +221,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, text: str =
     pairs = rest.join(one, (F.col("k") == F.col("k1")) & (F.col("m1") < F.col("component")) & able).select("c", "cid").distinct()
     seen = stars.select(F.least("c", "cid").alias("s1"), F.greatest("c", "cid").alias("s2"))
     pairs = pairs.join(seen, (F.least("c", "cid") == F.col("s1")) & (F.greatest("c", "cid") == F.col("s2")), "left_anti")
-    more = cut(_confirmed(cut(pairs), classes, docs, k, percent, text))
+    more = restart(_confirmed(restart(pairs), classes, docs, k, percent, text))
     if not more.isEmpty():
         joined = components(links.unionByName(more))
     # the smallest doc_id of each component
     named = classes.select("cid", "rep", "h1", "h2", F.col("n").alias("size")).join(joined, F.col("cid") == F.col("node"), "left")
-    named = cut(named.withColumn("component", F.coalesce("component", "cid")).drop("node"))
+    named = restart(named.withColumn("component", F.coalesce("component", "cid")).drop("node"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     least = least.select(rekey(F.col("component"), "bigint").alias("m"), "component_id")
     named = named.join(least, named["component"] == least["m"]).select("h1", "h2", "size", "component_id")

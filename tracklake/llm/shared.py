@@ -24,6 +24,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def restart(df: DataFrame) -> DataFrame:
+    """cut(), without the size that the planner guessed for df.
+
+    The guess for a join is the product of its sides. Carried from round to round of an iteration it grows
+    to numbers of millions of digits, whose arithmetic takes longer than the work itself.
+    """
+    df = cut(df)
+    spark = df.sparkSession
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(df._jdf.queryExecution().toRdd(), df._jdf.schema(), False), spark)
+
+
 def rekey(column: Column, kind: str) -> Column:
     """The same value under an expression that Catalyst doesn't follow.
 
