@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import os.path
 import struct
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -92,6 +93,9 @@ class PieceModel:
         self.unknown = next((i for i, (_, _, t) in enumerate(pieces) if t == UNKNOWN), 0)
         self.bytes = [i for i, (_, _, t) in enumerate(pieces) if t == BYTE]
         self.longest = max(map(len, self.ids), default=1)
+        self.floor = min(self.scores.values(), default=0.0) - 10.0
+        #: What a piece of two characters or more can end with: no longer one begins where this has no entry.
+        self.suffixes = {p[i:] for p in self.ids for i in range(len(p) - 1)}
         self.breaks = not any("\n" in p and len(p) > 1 for p in self.ids)
         order = sorted((p for p in self.ids if len(p) > 1), key=lambda p: -self.scores[p])
         self.rank: dict[str, int] = {}
@@ -156,20 +160,55 @@ class PieceModel:
         self.pairs[key] = out
         return out
 
-    def _extend_bpe(self, word: str, i: int, last: list[str]) -> None:
-        """Append the last piece of the merge result of word[:i]."""
-        ids = self.ids
-        for size in range(min(i, self.longest), 1, -1):
-            piece = word[i - size : i]
-            if piece in ids and self.split(piece) is not None and (size == i or self.survives(last[i - size], piece)):
-                last.append(piece)
-                return
-        last.append(word[i - 1])
+    def _walk_bpe(self, words: list[str]) -> dict[str, list[str]]:
+        """segment() by merges: ``last`` holds the last piece of the merge result of each prefix."""
+        ids, parts, pairs, suffixes, longest = self.ids, self.parts, self.pairs, self.suffixes, self.longest
+        out, before, last = {}, "", [""]
+        for word in words:
+            shared, n = 0, len(word)
+            for x, y in zip(before, word, strict=False):
+                if x != y:
+                    break
+                shared += 1
+            del last[shared + 1 :]
+            for i in range(shared + 1, n + 1):
+                found = word[i - 1]
+                ends = []
+                for j in range(i - 2, max(i - longest, 0) - 1, -1):
+                    piece = word[j:i]
+                    if piece not in suffixes:
+                        break
+                    if piece in ids:
+                        ends.append(piece)
+                for piece in reversed(ends):
+                    made = parts.get(piece, 0)
+                    if made == 0:
+                        made = self.split(piece)
+                    if made is None:
+                        continue
+                    j = i - len(piece)
+                    if j:
+                        kept = pairs.get((last[j], piece))
+                        if kept is None:
+                            kept = self.survives(last[j], piece)
+                        if not kept:
+                            continue
+                    found = piece
+                    break
+                last.append(found)
+            pieces, i = [], n
+            while i:
+                piece = last[i]
+                pieces.append(piece)
+                i -= len(piece)
+            pieces.reverse()
+            out[word] = pieces
+            before = word
+        return out
 
     def _extend_unigram(self, word: str, i: int, state: list[tuple[float, int]]) -> None:
         """Append the best score of word[:i] and the length of its last piece."""
-        floor = min(self.scores.values(), default=0.0) - 10.0
-        best = (state[i - 1][0] + floor, 1)
+        best = (state[i - 1][0] + self.floor, 1)
         for size in range(1, min(i, self.longest) + 1):
             score = self.scores.get(word[i - size : i])
             if score is not None and state[i - size][0] + score > best[0]:
@@ -178,19 +217,18 @@ class PieceModel:
 
     def segment(self, words: list[str]) -> dict[str, list[str]]:
         """The pieces of each of the sorted distinct words, by a walk of their trie."""
-        out, before = {}, ""
-        state: list = [""] if self.bpe else [(0.0, 0)]
-        extend = self._extend_bpe if self.bpe else self._extend_unigram
+        if self.bpe:
+            return self._walk_bpe(words)
+        out, before, state = {}, "", [(0.0, 0)]
         for word in words:
             shared = len(os.path.commonprefix((before, word)))
             del state[shared + 1 :]
             for i in range(shared + 1, len(word) + 1):
-                extend(word, i, state)
+                self._extend_unigram(word, i, state)
             found, i = [], len(word)
             while i:
-                size = len(state[i]) if self.bpe else state[i][1]
-                found.append(word[i - size : i])
-                i -= size
+                found.append(word[i - state[i][1] : i])
+                i -= state[i][1]
             out[word] = found[::-1]
             before = word
         return out
@@ -228,7 +266,7 @@ class PieceModel:
                 out += [self.bytes[b] for b in p.encode("utf-8", "replace")]
             else:
                 out.append(self.unknown)
-        return np.array(out, np.int32).tobytes()
+        return array("i", out).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The piece ids of each text."""
@@ -261,7 +299,7 @@ _PIECES = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.St
 _MODELS: dict[int, PieceModel] = {}
 
 
-def encode(df: DataFrame, model: bytes, text: str = "text", out: str = "pieces", rows_at_once: int = 1000) -> DataFrame:
+def encode(df: DataFrame, model: bytes, text: str = "text", out: str = "pieces", rows_at_once: int = 2000) -> DataFrame:
     """df with a struct column ``out``: ids, and whether decoding them gives the text again."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
