@@ -1,6 +1,7 @@
 import collections
 import hashlib
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -24,12 +25,12 @@ def fill(children, given):
     return out
 
 
-def brute(rows, weights, percent, epochs, seed):
-    words = lambda t: len([w for w in __import__("re").split(r"[\x20\x09-\x0D]+", t or "") if w])
+def brute(rows, weights, percent, epochs, seed, domain=lambda source: "d" + (source or "unknown")[-1]):
+    words = lambda t: len([w for w in re.split(r"[\x20\x09-\x0D]+", t or "") if w])
     tree = collections.defaultdict(lambda: collections.defaultdict(dict))
     docs = collections.defaultdict(list)
     for i, t, lang, source in rows:
-        leaf = ("d" + (source or "unknown")[-1], lang or "unknown", source or "unknown")
+        leaf = (domain(source), lang or "unknown", source or "unknown")
         docs[leaf].append((i, words(t)))
     for leaf, ds in docs.items():
         tree[leaf[0]][leaf[1]][leaf[2]] = sum(n for _, n in ds) * epochs
