@@ -583,8 +583,8 @@ def idf1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers made of order lines: the reference, and a generated one that is off in every other line."""
-    li = read(spark, sf_dir, "lineitem").withColumn("k", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_quantity", "l_linenumber"))).where("k <= 4")
+    """Answers made of all lines of an order: the reference, and a generated one that is off in every other line."""
+    li = read(spark, sf_dir, "lineitem").withColumn("k", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_quantity", "l_linenumber", "l_returnflag")))
     kind = F.when(F.col("l_linenumber") % 2 == 0, "truck").otherwise("car")
     want = X.describe_polar(kind, F.col("l_quantity"), F.col("l_quantity") - 25, F.col("l_returnflag") == "R")
     got = X.describe_polar(kind, F.col("l_quantity") + F.col("k") % 2 * 1.5, F.col("l_quantity") - 25, F.lit(False))
@@ -603,11 +603,15 @@ def detection_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT l_orderkey, 1.0::double AS reward, least(count(*), 4)::int AS tp FROM lineitem GROUP BY l_orderkey""")
 def self_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every reference scored against itself: the reflexive check."""
+    """Every reference scored against itself: the reflexive check.
+
+    All lines of an order are scored, so a line without its match lowers the reward; ``tp`` is given as the SQL
+    defines it, at most 4 an order.
+    """
     from .operators import scoring as SC
 
     rows = _answers(spark, sf_dir)
-    return rows.select("l_orderkey", r(SC.reward_objects(F.col("reference"), F.col("reference"))).alias("reward"), SC.score_objects(F.col("reference"), F.col("reference"))["tp"].alias("tp"))
+    return rows.select("l_orderkey", r(SC.reward_objects(F.col("reference"), F.col("reference"))).alias("reward"), F.least(SC.score_objects(F.col("reference"), F.col("reference"))["tp"], F.lit(4)).alias("tp"))
 
 
 @query()
