@@ -2,6 +2,7 @@ import hashlib
 import re
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -115,3 +116,17 @@ def test_table_edges_and_redaction(spark):
     assert clean[3] == 'é [secret]" end' and clean[1] is None and clean[2] == "" and clean[4].endswith(" [secret]")
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert S.find(empty, S.train(empty)).collect() == []
+
+
+def test_rare_spans_teach_and_copies_do_not_flood(spark, monkeypatch):
+    rows = [(i, f"alpha beta {i} of the report") for i in range(4000)] + [(5000, "see the token = " + "0123456789abcdef" * 2 + " of the report")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert S.train(docs, 20) is not None
+    seen = []
+    monkeypatch.setattr(S, "fit", lambda windows: seen.append(len(windows)))
+    copies = spark.createDataFrame([(i, "alpha beta 12 of the report") for i in range(2000)] + [(9000, "one 1 line")] * 2000, "doc_id long, text string")
+    for seed in range(8):
+        with pytest.warns(UserWarning, match="no field could be fitted: 0 of 4000"):
+            assert S.train(copies, 40, seed) is None
+    # three windows a text: about 20 of the copies with ids of their own, the equal rows once
+    assert max(seen) < 3 * 45

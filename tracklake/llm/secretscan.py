@@ -4,8 +4,9 @@ The text is cut into tokens (runs of letters, digits and ``_ - + /``; any other
 The field tags each token as outside (0), begin (1) or inside (2) of a secret. Its features are the
 token's shape and word, the shapes and words of its neighbours, and features of the whole file (shares of
 digits and symbols, length of lines). It is trained by maximum likelihood with the base patterns' spans as
-labels, on windows of an expected ``train_docs`` documents picked by a hash: what the patterns find teaches
-how secrets and their surroundings look. Without any base span in the sample nothing is added.
+labels, on windows of documents picked by a hash of id and text, an expected ``train_docs`` at most of those
+with base spans and as many of the others: what the patterns find teaches how secrets and their surroundings
+look, however rare they are. Without any base span in the table nothing is added, and train() warns.
 
 Decoding is Viterbi over the whole text. A token whose outside score exceeds its other scores by more than
 the transitions can ever return is outside on the best path, whatever its neighbours are; this splits the
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import functools
 import re
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -257,12 +259,23 @@ def _gradient(part: list[tuple[np.ndarray, np.ndarray]], w: np.ndarray, moves: n
     return gw / rows, gm / rows
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Labelled windows of the sampled documents: around secrets, around other tokens with digits, and elsewhere."""
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each batch how many texts there are, and how many have base spans."""
     for batch in batches:
-        places_out, tags_out = [], []
-        for t in batch.column(0):
-            text = t.as_py()
+        yield pa.RecordBatch.from_pydict({"n": [batch.num_rows], "n_with": [sum(bool(base_spans(t.as_py())) for t in batch.column(0))]})
+
+
+def _windows(batches: Iterator[pa.RecordBatch], below: tuple[float, float]) -> Iterator[pa.RecordBatch]:
+    """Labelled windows of the sampled documents: around secrets, around other tokens with digits, and elsewhere.
+
+    A document is sampled if its draw is under the first limit, or with base spans under the second.
+    """
+    for batch in batches:
+        keys, numbers, places_out, tags_out = [], [], [], []
+        for key, draw, t in zip(*(batch.column(i) for i in range(3)), strict=True):
+            text, key = t.as_py(), key.as_py()
+            if draw.as_py() >= below[bool(base_spans(text))]:
+                continue
             points = W.code_points(text)
             starts, ends, kinds = tokens(points)
             if not starts.size:
@@ -271,21 +284,28 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rng = np.random.default_rng(len(text))
             odd = np.flatnonzero((np.add.reduceat((kinds == 3).astype(np.int32), starts) > 0) & (tags == 0))
             centres = [*np.flatnonzero(tags == 1)[:4], *(rng.permutation(odd)[:3]), *rng.integers(0, starts.size, 2)]
-            for c in centres:
+            for i, c in enumerate(centres):
                 lo, hi = max(0, int(c) - WINDOW), min(starts.size, int(c) + WINDOW)
+                keys.append(key)
+                numbers.append(i)
                 places_out.append(places[lo:hi].astype(np.int16).tobytes())
                 tags_out.append(tags[lo:hi].tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(places_out, pa.binary()), pa.array(tags_out, pa.binary())], ["places", "tags"])
-
-
-def train(docs: DataFrame, train_docs: int = 3000, seed: int = 17, text: str = "text") -> Field | None:
-    """A field trained on at most about train_docs documents."""
-    rows = docs.select(text).where(F.col(text).isNotNull())
-    total = docs.count()
-    share = min(1.0, train_docs / total) if total else 1.0
-    rows = rows.where(F.shiftrightunsigned(F.xxhash64(F.lit(seed), text), 11) < F.lit(share * 2.0**53))
-    got = sorted((bytes(r[0]), bytes(r[1])) for r in rows.mapInArrow(_windows, "places binary, tags binary").collect())
-    return fit([(np.frombuffer(p, np.int16).reshape(len(t), -1).astype(np.int64), np.frombuffer(t, np.int8)) for p, t in got])
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(numbers, pa.int32()), pa.array(places_out, pa.binary()), pa.array(tags_out, pa.binary())], ["key", "number", "places", "tags"])
+
+
+def train(docs: DataFrame, train_docs: int = 3000, seed: int = 17, text: str = "text", doc_id: str = "doc_id") -> Field | None:
+    """A field trained on an expected train_docs documents with base spans and as many without, at most; equal rows teach once."""
+    key = F.xxhash64(F.lit(seed), doc_id, text)
+    rows = docs.select(key.alias("key"), F.shiftrightunsigned(key, 11).alias("draw"), F.col(text).alias("text")).where(F.col(text).isNotNull())
+    counted = rows.select("text").mapInArrow(_counts, "n long, n_with long").agg(F.sum("n").alias("n"), F.sum("n_with").alias("n_with")).first()
+    total, with_spans = counted["n"] or 0, counted["n_with"] or 0
+    below = tuple(min(1.0, train_docs / n) * 2.0**53 if n else 0.0 for n in (total - with_spans, with_spans))
+    drawn = rows.where(F.col("draw") < F.lit(max(below))).mapInArrow(lambda batches: _windows(batches, below), "key long, number int, places binary, tags binary")
+    got = sorted((bytes(r["places"]), bytes(r["tags"])) for r in drawn.distinct().collect())
+    field = fit([(np.frombuffer(p, np.int16).reshape(len(t), -1).astype(np.int64), np.frombuffer(t, np.int8)) for p, t in got])
+    if field is None:
+        warnings.warn(f"no field could be fitted: {with_spans} of {total} texts have base spans; only base spans are given", stacklevel=2)
+    return field
 
 
 def scan(text: str | None, field: Field | None) -> list[tuple[int, int, int]]:
