@@ -130,3 +130,27 @@ def test_rare_spans_teach_and_copies_do_not_flood(spark, monkeypatch):
             assert S.train(copies, 40, seed) is None
     # three windows a text: about 20 of the copies with ids of their own, the equal rows once
     assert max(seen) < 3 * 45
+
+
+def test_rest_of_a_longer_token_is_masked(spark):
+    weights, moves = np.zeros((S.SIZE + 1, 3)), np.zeros((5, 3))
+    field = S.Field(weights, moves)
+
+    def marks(*which):
+        return lambda scores: np.array([1 if i in which else 0 for i in range(len(scores))], np.int8)
+
+    text = "see Ab-0123456789abcdef-Xy and short or alonglongtoken1 end"
+    field.decode = marks(1)
+    assert S.scan(text, field) == [(4, 3, 26), (7, 2, 23)]
+    field.decode = marks(3, 5)  # under 12 characters without a base span; a token of its own
+    assert S.scan(text, field) == [(7, 2, 23), (40, 3, 55)]
+    field.decode = marks(1)
+    inside = "see 0123456789abcdef end"
+    assert S.scan(inside, field) == [(4, 2, 20)]
+    # a field that learned whole tokens, through redact()
+    rng = np.random.default_rng(1)
+    code = lambda k: "".join(rng.choice(list("0123456789abcdef"), k))
+    rows = [(i, f"alpha beta of the report Ab-{code(16)}-Xy and gamma in value") for i in range(200)] + [(1000 + i, "alpha beta of the report and gamma in value 12") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = {r["text"] for r in S.redact(docs, S.train(docs)).where("doc_id < 1000").collect()}
+    assert clean == {"alpha beta of the report [secret] and gamma in value"}

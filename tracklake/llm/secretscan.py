@@ -13,7 +13,9 @@ the transitions can ever return is outside on the best path, whatever its neighb
 text exactly, and only the stretches between such tokens need the recursion.
 
 Base kinds: assign, access, hex; spans are offsets in code points, end exclusive. Spans of the field are
-kind ``crf``; those that overlap a base span or are under MIN_CRF characters are left out.
+kind ``crf``. One that extends beyond the base spans it overlaps is kept whole, overlap included, so all of a
+longer token around a base span is masked; one within base spans adds nothing and is left out, and so is one
+that overlaps none and is under MIN_CRF characters.
 Defined results: a null text counts as empty and has no spans; repeated rows are judged alike.
 """
 
@@ -329,7 +331,8 @@ def scan(text: str | None, field: Field | None) -> list[tuple[int, int, int]]:
     for a, _, b in base:
         taken[a:b] = True
     added = [(int(starts[marked[i]]), 3, int(ends[marked[j]])) for i, j in zip(lo, hi, strict=True)]
-    return sorted(base + [s for s in added if s[2] - s[0] >= MIN_CRF and not taken[s[0] : s[2]].any()])
+    kept = lambda inside: not inside.all() and (inside.any() or inside.size >= MIN_CRF)
+    return sorted(base + [s for s in added if kept(taken[s[0] : s[2]])])
 
 
 _SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("kind", T.StringType()), T.StructField("end", T.LongType())]))
