@@ -154,3 +154,26 @@ def test_rest_of_a_longer_token_is_masked(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     clean = {r["text"] for r in S.redact(docs, S.train(docs)).where("doc_id < 1000").collect()}
     assert clean == {"alpha beta of the report [secret] and gamma in value"}
+
+
+def test_windows_come_from_the_whole_document(spark, monkeypatch):
+    # four hex runs first, then sixteen access keys: each span is one token, and its shape shows the kind
+    line = lambda s: "alpha beta gamma delta the of in on and report value " * 5 + s
+    text = " ".join([line("0123456789abcdef")] * 4 + [line("AKIA" + "B" * 14)] * 16)
+    docs = spark.createDataFrame([(i, text) for i in range(30)], "doc_id long, text string")
+    seen = []
+    monkeypatch.setattr(S, "fit", lambda windows: seen.append(windows))
+
+    points = S.W.code_points("0123456789abcdef")
+    hex_shape = S.features(points, *S.tokens(points))[0][0]
+
+    def windows(**given):
+        with pytest.warns(UserWarning):
+            S.train(docs, **given)
+        firsts = [p[t == 1][0][0] for p, t in seen[-1] if (t == 1).any()]  # the shape of a window's first secret
+        return len(seen[-1]), sum(x == hex_shape for x in firsts)
+
+    n, hexes = windows()
+    assert n == 30 * 6 and 0 < hexes < 30 * 3  # a fifth of the spans; the first four of each text are 30 * 4
+    n, hexes = windows(per_doc=(20, 0, 0))
+    assert n == 30 * 20 and 30 * 4 <= hexes

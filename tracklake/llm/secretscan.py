@@ -267,10 +267,11 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"n": [batch.num_rows], "n_with": [sum(bool(base_spans(t.as_py())) for t in batch.column(0))]})
 
 
-def _windows(batches: Iterator[pa.RecordBatch], below: tuple[float, float]) -> Iterator[pa.RecordBatch]:
+def _windows(batches: Iterator[pa.RecordBatch], below: tuple[float, float], per_doc: tuple[int, int, int]) -> Iterator[pa.RecordBatch]:
     """Labelled windows of the sampled documents: around secrets, around other tokens with digits, and elsewhere.
 
-    A document is sampled if its draw is under the first limit, or with base spans under the second.
+    A document is sampled if its draw is under the first limit, or with base spans under the second. per_doc has
+    how many windows of each of the three it gives at most, all drawn from the whole document.
     """
     for batch in batches:
         keys, numbers, places_out, tags_out = [], [], [], []
@@ -283,9 +284,9 @@ def _windows(batches: Iterator[pa.RecordBatch], below: tuple[float, float]) -> I
             if not starts.size:
                 continue
             places, tags = features(points, starts, ends, kinds), labels(text, starts, ends)
-            rng = np.random.default_rng(len(text))
+            rng = np.random.default_rng(key & (2**64 - 1))
             odd = np.flatnonzero((np.add.reduceat((kinds == 3).astype(np.int32), starts) > 0) & (tags == 0))
-            centres = [*np.flatnonzero(tags == 1)[:4], *(rng.permutation(odd)[:3]), *rng.integers(0, starts.size, 2)]
+            centres = [*rng.permutation(np.flatnonzero(tags == 1))[: per_doc[0]], *rng.permutation(odd)[: per_doc[1]], *rng.integers(0, starts.size, per_doc[2])]
             for i, c in enumerate(centres):
                 lo, hi = max(0, int(c) - WINDOW), min(starts.size, int(c) + WINDOW)
                 keys.append(key)
@@ -295,14 +296,18 @@ def _windows(batches: Iterator[pa.RecordBatch], below: tuple[float, float]) -> I
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(numbers, pa.int32()), pa.array(places_out, pa.binary()), pa.array(tags_out, pa.binary())], ["key", "number", "places", "tags"])
 
 
-def train(docs: DataFrame, train_docs: int = 3000, seed: int = 17, text: str = "text", doc_id: str = "doc_id") -> Field | None:
-    """A field trained on an expected train_docs documents with base spans and as many without, at most; equal rows teach once."""
+def train(docs: DataFrame, train_docs: int = 3000, seed: int = 17, text: str = "text", doc_id: str = "doc_id", per_doc: tuple[int, int, int] = (4, 3, 2)) -> Field | None:
+    """A field trained on an expected train_docs documents with base spans and as many without, at most; equal rows teach once.
+
+    per_doc: how many training windows a document gives at most around base spans, around other tokens with digits,
+    and at random places. They are drawn from the whole document, so with more spans than that each can be among them.
+    """
     key = F.xxhash64(F.lit(seed), doc_id, text)
     rows = docs.select(key.alias("key"), F.shiftrightunsigned(key, 11).alias("draw"), F.col(text).alias("text")).where(F.col(text).isNotNull())
     counted = rows.select("text").mapInArrow(_counts, "n long, n_with long").agg(F.sum("n").alias("n"), F.sum("n_with").alias("n_with")).first()
     total, with_spans = counted["n"] or 0, counted["n_with"] or 0
     below = tuple(min(1.0, train_docs / n) * 2.0**53 if n else 0.0 for n in (total - with_spans, with_spans))
-    drawn = rows.where(F.col("draw") < F.lit(max(below))).mapInArrow(lambda batches: _windows(batches, below), "key long, number int, places binary, tags binary")
+    drawn = rows.where(F.col("draw") < F.lit(max(below))).mapInArrow(lambda batches: _windows(batches, below, per_doc), "key long, number int, places binary, tags binary")
     got = sorted((bytes(r["places"]), bytes(r["tags"])) for r in drawn.distinct().collect())
     field = fit([(np.frombuffer(p, np.int16).reshape(len(t), -1).astype(np.int64), np.frombuffer(t, np.int8)) for p, t in got])
     if field is None:
