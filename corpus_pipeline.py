@@ -35,7 +35,11 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents within their source's budget stay: 90 % of the tokens by weight, each document once at most."""
+    """Documents within their source's budget stay: 90 % of the tokens by weight, each document once at most.
+
+    Only whole documents stay. The document in which a leaf's budget ends goes, with the first tokens that mix() gives
+    it (prefix_tokens): each leaf gets less than its budget by up to its longest document, and that isn't given to others.
+    """
     ship(spark)
     mixed = mixing.mix(docs.select(COLUMNS), mixing.number_domain(), mixing.WEIGHTS, percent=90, max_epochs=1)
     return mixed.where(F.col("_mix.copies") > 0).select(COLUMNS)
