@@ -1,3 +1,4 @@
+import math
 import re
 import zlib
 
@@ -56,6 +57,24 @@ def test_matrix_is_hypergeometric():
     assert np.allclose(mean, 12.5, atol=0.25) and np.allclose(var, expected, rtol=0.12)
 
 
+def test_draws_beyond_numpys_range():
+    rng = np.random.default_rng(2)
+    # three of 10**10 rows, a tenth of them good: all but binomial
+    got = np.bincount([sharding._hypergeometric(rng, 10**9, 9 * 10**9, 3) for _ in range(6000)], minlength=4) / 6000
+    assert np.allclose(got, [0.729, 0.243, 0.027, 0.001], atol=0.025)
+    draws = np.array([sharding._hypergeometric(rng, 10**9, 23 * 10**9, 50_000) for _ in range(4000)])
+    assert abs(draws.mean() - 50_000 / 24) < 4 and np.isclose(draws.var(), 50_000 / 24 * 23 / 24, rtol=0.12)
+    # the law itself where it can be counted
+    for good, bad, n in ((7, 5, 6), (3, 40, 20), (40, 3, 20), (1, 1, 1), (5, 2, 7)):
+        want = [math.comb(good, k) * math.comb(bad, n - k) / math.comb(good + bad, n) for k in range(n + 1)]
+        got = np.bincount([sharding._inverted(rng, good, bad, n) for _ in range(6000)], minlength=n + 1) / 6000
+        assert np.allclose(got, want, atol=0.03)
+    blocks = {0: 3 * 10**9, 1: 2 * 10**9, 2: 5}
+    m = sharding.matrix(blocks, 3, 1)
+    columns = np.sum(list(m.values()), axis=0)
+    assert all(sum(m[b]) == n and min(m[b]) >= 0 for b, n in blocks.items()) and columns.max() - columns.min() <= 1
+
+
 def test_shards(spark):
     rows = [(i, f"text {i} é", 3) for i in range(1000)] + [(2000, None, 1), (2001, "", 1), (2002, "x" * 400_000, 1), (None, "n", 1)] + [(3000, "same", 1)] * 300
     df = spark.createDataFrame(rows, "doc_id long, text string, slot int")

@@ -35,7 +35,7 @@ def matrix(blocks: dict[int, int], shards: int, seed: int) -> dict[int, list[int
     for b in sorted(blocks):
         draw = np.zeros(shards, np.int64)
         rest, places = blocks[b], int(left.sum())
-        for s in range(shards):  # conditional hypergeometric draws: exact for any size below 10**9 a side
+        for s in range(shards):  # conditional hypergeometric draws
             places -= int(left[s])
             draw[s] = rest if places == 0 else _hypergeometric(rng, int(left[s]), places, rest)
             rest -= int(draw[s])
@@ -45,13 +45,29 @@ def matrix(blocks: dict[int, int], shards: int, seed: int) -> dict[int, list[int
 
 
 def _hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
-    """numpy's draw; beyond its range, the sum of draws from two halves of the sample."""
+    """numpy's draw; beyond its range, by inversion."""
     if n == 0 or good == 0:
         return 0
     if max(good, bad) < 10**9:
         return int(rng.hypergeometric(good, bad, n))
-    p, var = good / (good + bad), n * good / (good + bad) * bad / (good + bad) * max(good + bad - n, 0) / (good + bad - 1)
-    return int(min(max(round(rng.normal(n * p, math.sqrt(var))), n - bad, 0), good, n))
+    return _inverted(rng, good, bad, n)
+
+
+def _inverted(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """A hypergeometric draw by inversion, for any size.
+
+    The odds of neighbouring values are exact ratios, which multiply up from the least value. Values more than ten
+    deviations and 40 from the mode weigh less than 1e-21 together (Bernstein), under the step of a 53-bit uniform.
+    """
+    total = good + bad
+    p = good / total
+    mode = (n + 1) * (good + 1) // (total + 2)
+    reach = math.ceil(10 * math.sqrt(n * p * (1 - p) * (total - n) / max(total - 1, 1))) + 40
+    lo, hi = max(0, n - bad, mode - reach), min(good, n, mode + reach)
+    k = np.arange(lo, hi, dtype=np.float64)
+    logs = np.concatenate(([0.0], np.cumsum(np.log((good - k) * (n - k)) - np.log((k + 1) * (bad - n + k + 1)))))
+    weights = np.cumsum(np.exp(logs - logs.max()))
+    return lo + min(int(np.searchsorted(weights, rng.random() * weights[-1], side="right")), hi - lo)
 
 
 def shard_rows(rows: DataFrame, shards: int, key: list[Column], seed: int = 7, rows_per_block: int = 50_000, rows_per_range: int = 50_000) -> DataFrame:
