@@ -149,10 +149,13 @@ def question_form(asked: Column, phrases: Sequence[tuple[str, str]], other: str
 
 
 def sentences(text: Column) -> Column:
-    """An array of structs (sentence, start) with the start's place in the text."""
-    parts = F.split(F.coalesce(text, F.lit("")), r"(?<=[.!?])\s+")
-    gaps = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?<=[.!?])\s+"), F.lit(0)), F.length)
-    return F.transform(parts, lambda s, i: F.struct(s.alias("sentence"), F.aggregate(F.slice(parts, 1, i), F.lit(0), lambda a, x: a + F.length(x)).__add__(F.aggregate(F.slice(gaps, 1, i), F.lit(0), lambda a, x: a + x)).alias("start")))
+    """An array of structs (sentence, start) with the start's place in the text, by one running sum."""
+    text, gap = F.coalesce(text, F.lit("")), r"(?<=[.!?])\s+"
+    parts = F.zip_with(F.split(text, gap), F.regexp_extract_all(text, F.lit(gap), F.lit(0)), lambda s, g: F.struct(s.alias("s"), (F.length(s) + F.coalesce(F.length(g), F.lit(0))).alias("n")))
+    kind = "struct<at:int,out:array<struct<sentence:string,start:int>>>"
+    none = F.struct(F.lit(0).alias("at"), F.array().alias("out")).cast(kind)
+    step = lambda a, p: F.struct((a["at"] + p["n"]).alias("at"), F.concat(a["out"], F.array(F.struct(p["s"].alias("sentence"), a["at"].alias("start")))).alias("out")).cast(kind)
+    return F.aggregate(parts, none, step, lambda a: a["out"])
 
 
 def frame_reference(text: Column, last: int = 19) -> Column:

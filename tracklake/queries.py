@@ -482,7 +482,7 @@ def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "benchmark").select("item_id", F.explode(X.sentences(F.col("text"))).alias("s")).select("item_id", "s.sentence", "s.start")
+    return read(spark, sf_dir, "documents").select("doc_id", F.explode(X.sentences(F.col("text"))).alias("s")).select("doc_id", "s.sentence", "s.start")
 
 
 # ---------------------------------------------------------------- statistics and evaluation
