@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -173,7 +174,45 @@ def test_windows_come_from_the_whole_document(spark, monkeypatch):
         firsts = [p[t == 1][0][0] for p, t in seen[-1] if (t == 1).any()]  # the shape of a window's first secret
         return len(seen[-1]), sum(x == hex_shape for x in firsts)
 
-    n, hexes = windows()
+    n, hexes = windows(versions=0)
     assert n == 30 * 6 and 0 < hexes < 30 * 3  # a fifth of the spans; the first four of each text are 30 * 4
-    n, hexes = windows(per_doc=(20, 0, 0))
+    n, hexes = windows(per_doc=(20, 0, 0), versions=0)
     assert n == 30 * 20 and 30 * 4 <= hexes
+
+
+def test_unseen_secrets_are_found_and_names_are_not(spark):
+    """Trained on base spans of two forms only, the field finds secrets of forms that no pattern has."""
+    rng = random.Random(8)
+    lower, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    every = lower + lower.upper() + digits
+    make = lambda chars, n: "".join(rng.choices(chars, k=n))
+    prose = lambda n: " ".join(rng.choice([make(lower, rng.randint(2, 11)), make(lower, 5).title() + ".", make(digits, rng.randint(1, 4)), f"{make(lower, 6)}@mail{make(digits, 1)}.example", f"+49-{make(digits, 3)}-{make(digits, 7)}"]) for _ in range(n))
+    rows = [(i, f"{prose(40)} {rng.choice(['token = ' + chr(34) + make(digits + 'abcdef', 40) + chr(34), make(digits, 16)]) if i % 6 == 0 else ''} {prose(40)}") for i in range(600)]
+    field = S.train(spark.createDataFrame(rows, "doc_id long, text string"))
+    forms = {
+        "prefix": lambda: "ghp_" + make(every, 36), "parts": lambda: f"xoxb-{make(digits, 11)}-{make(every, 24)}", "live": lambda: "sk_live_" + make(every, 24),
+        "upper": lambda: make(digits + "ABCDEF", 32), "base64": lambda: make(every + "+/", 43), "uuid": lambda: "-".join(make(digits + "abcdef", n) for n in (8, 4, 4, 4, 12)),
+    }
+    clean = {"camel": lambda: "".join(make(lower, 6).title() for _ in range(5)), "snake": lambda: "_".join(make(lower, 6) for _ in range(5)), "word": lambda: make(lower, 28), "date": lambda: f"2024-01-1{make(digits, 1)}", "code": lambda: "ISO-8859-1"}
+
+    def found(form):
+        hits = 0
+        for _ in range(40):
+            before, value = prose(20) + " ", form()
+            hits += any(k == 3 and a < len(before) + len(value) and b > len(before) for a, k, b in S.scan(before + value + " " + prose(20), field) if k == 3 or not S.base_spans(value))
+        return hits / 40
+
+    assert all(found(f) >= 0.8 for f in forms.values()), {k: found(f) for k, f in forms.items()}
+    assert all(found(f) <= 0.05 for f in clean.values()), {k: found(f) for k, f in clean.items()}
+    assert sum(any(k == 3 for _, k, _ in S.scan(prose(300), field)) for _ in range(100)) <= 2
+
+
+def test_varied_values(spark):
+    rng = np.random.default_rng(2)
+    text = 'see password = "' + "a1" * 10 + '" here and 0123456789abcdef0 there'
+    for _ in range(50):
+        new, secrets, names = S.varied(text, rng)
+        assert len(secrets) + len(names) == 2 and new.startswith("see ") and new.endswith(" there")
+        assert all(16 <= b - a < 65 and set(new[a:b]) <= set(S.ALPHABETS[-1] + S.ALPHABETS[-2]) for a, b in secrets)
+        assert all(re.fullmatch(r"[A-Za-z_-]+", new[a:b]) for a, b in names)
+    assert S.varied("no secret", rng) == ("no secret", [], [])

@@ -6,7 +6,9 @@ token's shape and word, the shapes and words of its neighbours, and features of
 digits and symbols, length of lines). It is trained by maximum likelihood with the base patterns' spans as
 labels, on windows of documents picked by a hash of id and text, an expected ``train_docs`` at most of those
 with base spans and as many of the others: what the patterns find teaches how secrets and their surroundings
-look, however rare they are. Without any base span in the table nothing is added, and train() warns.
+look, however rare they are. As the field would then only find again what the patterns find, training also sees these
+documents with other values in the places of the spans (varied()): secret ones of alphabets that no pattern has, and
+names, which are none. Without any base span in the table nothing is added, and train() warns.
 
 Decoding is Viterbi over the whole text. A token whose outside score exceeds its other scores by more than
 the transitions can ever return is outside on the best path, whatever its neighbours are; this splits the
@@ -16,7 +18,9 @@ Base kinds: assign, access, hex; spans are offsets in code points, end exclusive
 kind ``crf``. One that extends beyond the base spans it overlaps is kept whole, overlap included, so all of a
 longer token around a base span is masked; one within base spans adds nothing and is left out, and so is one
 that overlaps none and is under MIN_CRF characters.
-Defined results: a null text counts as empty and has no spans; repeated rows are judged alike.
+Defined results: a null text counts as empty and has no spans; repeated rows are judged alike; spans of different
+kinds that start in one place are all given, in the order of KINDS; a text is scanned whole, whatever its length; an
+empty table gives an empty result; other columns pass through, but one named as find()'s ``out`` is replaced.
 """
 
 from __future__ import annotations
@@ -41,9 +45,17 @@ KINDS = ("assign", "access", "hex", "crf")
 MIN_ASSIGN, MIN_ACCESS, MIN_HEX, MIN_CRF = 12, 18, 16, 12
 
 SHAPES, WORDS, FILES = 1 << 10, 1 << 11, 1 << 6
+#: Alphabets of the values that training puts in place of the base spans' own, and from which to below which size.
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+_BASE62 = "0123456789" + _LETTERS + _LETTERS.upper()
+ALPHABETS, VARIED_SIZES = ("0123456789abcdef", "0123456789ABCDEF", "0123456789" + _LETTERS, _BASE62, _BASE62 + "+/", _BASE62 + "-_"), (16, 65)
+#: From how many first characters training takes the words of such names.
+VARIED_WORDS = 10_000
 #: Places of the neighbours whose words and shapes are features.
 NEAR_WORDS, NEAR_SHAPES = (0, -1, -2, -3, 1), (0, -1, 1)
-SIZE = SHAPES * len(NEAR_SHAPES) + WORDS * len(NEAR_WORDS) + FILES
+#: Sizes of the features that are parts of a token's own shape: its length, what it has, its changes, length with changes.
+PARTS = (8, 16, 8, 64)
+SIZE = SHAPES * len(NEAR_SHAPES) + WORDS * len(NEAR_WORDS) + sum(PARTS) + FILES
 WINDOW = 20
 
 
@@ -100,8 +112,8 @@ def features(points: np.ndarray, starts: np.ndarray, ends: np.ndarray, kinds: np
     lengths = ends - starts
     digits, uppers, lowers = (np.add.reduceat((kinds == k).astype(np.int32), starts) if n else np.zeros(0, np.int32) for k in (3, 2, 1))
     if n:  # a stretch from one start to the next also holds spaces, which none of the three counts has
-        change = np.zeros(points.size, np.int32)
-        change[1:] = (kinds[1:] != kinds[:-1]) & (kinds[1:] != 0) & (kinds[:-1] != 0)
+        change, alike = np.zeros(points.size, np.int32), np.where(kinds == 6, 1, kinds)
+        change[1:] = (alike[1:] != alike[:-1]) & (alike[1:] != 0) & (alike[:-1] != 0)
         change[starts] = 0
         changes = np.add.reduceat(change, starts)
     else:
@@ -116,22 +128,25 @@ def features(points: np.ndarray, starts: np.ndarray, ends: np.ndarray, kinds: np
     total = max(points.size, 1)
     lines = int((points == 10).sum()) + 1
     file = (int(np.searchsorted([0.005, 0.02, 0.1], int(digits.sum()) / total, side="right")) * 4 + int(np.searchsorted([0.02, 0.05, 0.15], symbols / total, side="right"))) * 4 + int(np.searchsorted([40, 120, 400], total / lines, side="right"))
-    out = np.full((n, len(NEAR_SHAPES) + len(NEAR_WORDS) + 1), SIZE, np.int32)
+    out = np.full((n, len(NEAR_SHAPES) + len(NEAR_WORDS) + len(PARTS) + 1), SIZE, np.int32)
     base = 0
     for j, (values, at) in enumerate([(shape, d) for d in NEAR_SHAPES] + [(word, d) for d in NEAR_WORDS]):
         lo, hi = max(0, -at), min(n, n - at)
         if hi > lo:
             out[lo:hi, j] = base + values[lo + at : hi + at]
         base += SHAPES if j < len(NEAR_SHAPES) else WORDS
+    for j, (values, cells) in enumerate(zip((size, digit * 4 + case, mixed, size * 8 + mixed), PARTS, strict=True), len(NEAR_SHAPES) + len(NEAR_WORDS)):
+        out[:, j] = base + values
+        base += cells
     out[:, -1] = base + file
     return out
 
 
-def labels(text: str, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Tags from the base spans; of an assignment, its value."""
-    spans = []
-    for a, kind, b in base_spans(text):
-        spans.append((ASSIGN.match(text, a).start(2) if kind == 0 else a, b))
+def labels(text: str, starts: np.ndarray, ends: np.ndarray, values: list[tuple[int, int]] | None = None) -> np.ndarray:
+    """Tags from the places of secret values; without them from the base spans: of an assignment, its value."""
+    spans = values
+    if spans is None:
+        spans = [(ASSIGN.match(text, a).start(2) if kind == 0 else a, b) for a, kind, b in base_spans(text)]
     tags = np.zeros(starts.size, np.int8)
     for a, b in spans:
         lo, hi = np.searchsorted(ends, a, side="right"), np.searchsorted(starts, b, side="left")
@@ -201,25 +216,24 @@ def viterbi(field: Field, scores: np.ndarray) -> np.ndarray:
     return np.array(tags[::-1], np.int8)
 
 
-def fit(windows: list[tuple[np.ndarray, np.ndarray]], epochs: int = 8, batch: int = 256, rate: float = 0.08, l2: float = 1e-5, seed: int = 3) -> Field | None:
-    """Maximum likelihood by Adam over batches of windows (places, tags); None without any secret."""
+def fit(windows: list[tuple[np.ndarray, np.ndarray]], steps: int = 600, batch: int = 128, rate: float = 0.08, l2: float = 1e-5, seed: int = 3) -> Field | None:
+    """Maximum likelihood by ``steps`` of Adam over batches of windows (places, tags); None without any secret."""
     windows = [w for w in windows if len(w[1])]
     if not any(t.any() for _, t in windows):
         return None
     rng = np.random.default_rng(seed)
     w, moves = np.zeros((SIZE + 1, 3)), np.zeros((5, 3))
     state = [[np.zeros_like(x), np.zeros_like(x)] for x in (w, moves)]
-    turn = 0
-    for _ in range(epochs):
-        order = rng.permutation(len(windows))
-        for lo in range(0, len(order), batch):
-            part = [windows[i] for i in order[lo : lo + batch]]
-            gw, gm = _gradient(part, w, moves)
-            turn += 1
-            for x, g, s in ((w, gw + l2 * w, state[0]), (moves, gm + l2 * moves, state[1])):
-                s[0] = 0.9 * s[0] + 0.1 * g
-                s[1] = 0.99 * s[1] + 0.01 * g * g
-                x -= rate * (s[0] / (1 - 0.9**turn)) / (np.sqrt(s[1] / (1 - 0.99**turn)) + 1e-8)
+    order: list[int] = []
+    for turn in range(1, steps + 1):
+        if not order:
+            order = rng.permutation(len(windows)).tolist()
+        part, order = [windows[i] for i in order[:batch]], order[batch:]
+        gw, gm = _gradient(part, w, moves)
+        for x, g, s in ((w, gw + l2 * w, state[0]), (moves, gm + l2 * moves, state[1])):
+            s[0] = 0.9 * s[0] + 0.1 * g
+            s[1] = 0.99 * s[1] + 0.01 * g * g
+            x -= rate * (s[0] / (1 - 0.9**turn)) / (np.sqrt(s[1] / (1 - 0.99**turn)) + 1e-8)
     return Field(w, moves)
 
 
@@ -267,47 +281,81 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"n": [batch.num_rows], "n_with": [sum(bool(base_spans(t.as_py())) for t in batch.column(0))]})
 
 
-def _windows(batches: Iterator[pa.RecordBatch], below: tuple[float, float], per_doc: tuple[int, int, int]) -> Iterator[pa.RecordBatch]:
+def varied(text: str, rng: np.random.Generator) -> tuple[str, list[tuple[int, int]], list[tuple[int, int]]]:
+    """The text with others in place of its base spans' values, where secret ones now stand, and where names do.
+
+    Two values in three are drawn from one of ALPHABETS, which no base pattern knows; the others are names made of the
+    text's own words, which are no secrets. In half of the cases what an assignment says before its value goes too. So
+    neither the base patterns' alphabets nor their cues are needed to see a secret, and length alone makes none.
+    """
+    out, secrets, names, done, length = [], [], [], 0, 0
+    words = re.findall(r"[^\W\d_]+", text[:VARIED_WORDS]) or ["x"]
+    for start, kind, end in base_spans(text):
+        value = ASSIGN.match(text, start).start(2) if kind == 0 else start
+        if start < done:
+            continue
+        is_secret = rng.random() < 2 / 3
+        if is_secret:
+            chars = ALPHABETS[rng.integers(len(ALPHABETS))]
+            new = "".join(chars[i] for i in rng.integers(0, len(chars), rng.integers(*VARIED_SIZES)))
+        else:
+            some = [words[i] for i in rng.integers(0, len(words), rng.integers(2, 8))]
+            new = ("".join(some), "_".join(some), "-".join(some), "".join(w.capitalize() for w in some))[rng.integers(4)]
+        before = text[done : start if rng.random() < 0.5 else value]
+        out += [before, new]
+        length += len(before)
+        (secrets if is_secret else names).append((length, length + len(new)))
+        length, done = length + len(new), end
+    return "".join(out) + text[done:], secrets, names
+
+
+def _windows(batches: Iterator[pa.RecordBatch], below: tuple[float, float], per_doc: tuple[int, int, int], versions: int) -> Iterator[pa.RecordBatch]:
     """Labelled windows of the sampled documents: around secrets, around other tokens with digits, and elsewhere.
 
     A document is sampled if its draw is under the first limit, or with base spans under the second. per_doc has
-    how many windows of each of the three it gives at most, all drawn from the whole document.
+    how many windows of each of the three it gives at most, all drawn from the whole document; with base spans it
+    gives as many again from each of ``versions`` texts with varied values.
     """
     for batch in batches:
         keys, numbers, places_out, tags_out = [], [], [], []
         for key, draw, t in zip(*(batch.column(i) for i in range(3)), strict=True):
             text, key = t.as_py(), key.as_py()
-            if draw.as_py() >= below[bool(base_spans(text))]:
-                continue
-            points = W.code_points(text)
-            starts, ends, kinds = tokens(points)
-            if not starts.size:
+            has_spans = bool(base_spans(text))
+            if draw.as_py() >= below[has_spans]:
                 continue
-            places, tags = features(points, starts, ends, kinds), labels(text, starts, ends)
-            rng = np.random.default_rng(key & (2**64 - 1))
-            odd = np.flatnonzero((np.add.reduceat((kinds == 3).astype(np.int32), starts) > 0) & (tags == 0))
-            centres = [*rng.permutation(np.flatnonzero(tags == 1))[: per_doc[0]], *rng.permutation(odd)[: per_doc[1]], *rng.integers(0, starts.size, per_doc[2])]
-            for i, c in enumerate(centres):
-                lo, hi = max(0, int(c) - WINDOW), min(starts.size, int(c) + WINDOW)
-                keys.append(key)
-                numbers.append(i)
-                places_out.append(places[lo:hi].astype(np.int16).tobytes())
-                tags_out.append(tags[lo:hi].tobytes())
+            rng, number = np.random.default_rng(key & (2**64 - 1)), 0
+            for version, values, names in [(text, None, []), *(varied(text, rng) for _ in range(versions if has_spans else 0))]:
+                points = W.code_points(version)
+                starts, ends, kinds = tokens(points)
+                if not starts.size:
+                    continue
+                places, tags = features(points, starts, ends, kinds), labels(version, starts, ends, values)
+                odd = np.flatnonzero((np.add.reduceat((kinds == 3).astype(np.int32), starts) > 0) & (tags == 0))
+                named = np.searchsorted(ends, [a for a, _ in names], side="right")
+                centres = [*rng.permutation(np.concatenate((np.flatnonzero(tags == 1), named)).astype(np.int64))[: per_doc[0]], *rng.permutation(odd)[: per_doc[1]], *rng.integers(0, starts.size, per_doc[2])]
+                for c in centres:
+                    lo, hi = max(0, int(c) - WINDOW), min(starts.size, int(c) + WINDOW)
+                    keys.append(key)
+                    numbers.append(number)
+                    places_out.append(places[lo:hi].astype(np.int16).tobytes())
+                    tags_out.append(tags[lo:hi].tobytes())
+                    number += 1
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(numbers, pa.int32()), pa.array(places_out, pa.binary()), pa.array(tags_out, pa.binary())], ["key", "number", "places", "tags"])
 
 
-def train(docs: DataFrame, train_docs: int = 3000, seed: int = 17, text: str = "text", doc_id: str = "doc_id", per_doc: tuple[int, int, int] = (4, 3, 2)) -> Field | None:
+def train(docs: DataFrame, train_docs: int = 3000, seed: int = 17, text: str = "text", doc_id: str = "doc_id", per_doc: tuple[int, int, int] = (4, 3, 2), versions: int = 4) -> Field | None:
     """A field trained on an expected train_docs documents with base spans and as many without, at most; equal rows teach once.
 
     per_doc: how many training windows a document gives at most around base spans, around other tokens with digits,
     and at random places. They are drawn from the whole document, so with more spans than that each can be among them.
+    versions: how many texts with varied values a document with base spans gives besides its own.
     """
     key = F.xxhash64(F.lit(seed), doc_id, text)
     rows = docs.select(key.alias("key"), F.shiftrightunsigned(key, 11).alias("draw"), F.col(text).alias("text")).where(F.col(text).isNotNull())
     counted = rows.select("text").mapInArrow(_counts, "n long, n_with long").agg(F.sum("n").alias("n"), F.sum("n_with").alias("n_with")).first()
     total, with_spans = counted["n"] or 0, counted["n_with"] or 0
     below = tuple(min(1.0, train_docs / n) * 2.0**53 if n else 0.0 for n in (total - with_spans, with_spans))
-    drawn = rows.where(F.col("draw") < F.lit(max(below))).mapInArrow(lambda batches: _windows(batches, below, per_doc), "key long, number int, places binary, tags binary")
+    drawn = rows.where(F.col("draw") < F.lit(max(below))).mapInArrow(lambda batches: _windows(batches, below, per_doc, versions), "key long, number int, places binary, tags binary")
     got = sorted((bytes(r["places"]), bytes(r["tags"])) for r in drawn.distinct().collect())
     field = fit([(np.frombuffer(p, np.int16).reshape(len(t), -1).astype(np.int64), np.frombuffer(t, np.int8)) for p, t in got])
     if field is None:
