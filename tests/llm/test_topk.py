@@ -41,6 +41,27 @@ def test_few_and_none(spark):
     assert got == brute([(0, [1.0, 0.5]), (1, [1.0, 0.5]), (2, [-1.0, 0.25]), (20, [0.5, 0.5])], 20, 20)
 
 
+def test_blocks_of_queries_and_clashing_names(spark):
+    from pyspark.sql import functions as F
+
+    # queries that reach all bands and queries that reach the longest ones only, over many blocks
+    rng = np.random.default_rng(7)
+    long = [(i, (rng.normal(size=6) * 40).tolist()) for i in range(0, 60)]
+    rows = long + [(100 + i, (rng.normal(size=6) * 10.0 ** rng.integers(-2, 2)).tolist()) for i in range(1500)] + [(5000 + 4 * i, [0.0] * 6) for i in range(30)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit("x") for c in ("v", "length", "q", "band", "part", "score", "group", "need", "q_block", "rank")})
+    got = sorted(map(tuple, topk.top_k(df, k=5, every=4, block=16, head=32).collect()))
+    assert got == sorted(brute(rows, 5, 4))
+
+
+def test_too_long_and_repeated_ids(spark):
+    huge = spark.createDataFrame([(0, [1e12, 1.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(OverflowError):
+        topk.top_k(huge)
+    twice = spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [2.0, 0.0]), (2, [0.0, 3.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in topk.top_k(twice).orderBy("query_id", "rank").collect()]
+    assert [r[3] for r in got] == sorted((r[3] for r in got), reverse=True) and got[0][2:] == (2, 64 * 3 * 64)
+
+
 def test_search_prunes_exactly():
     rng = np.random.default_rng(2)
     x = np.floor(64 * rng.normal(size=(3000, 32)) * np.linspace(3, 0.01, 32)).astype(np.int64)

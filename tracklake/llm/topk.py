@@ -7,19 +7,23 @@ a vector that a large share of the rows repeats shrinks to that before anything
    first coordinates. It only serves the bounds; scores are computed from the integers.
 2. The ``head`` longest vectors give every query a first k-th score.
 3. Candidates are cut into bands by descending length, and bands into blocks of bounded size; queries into
-   blocks too. By Cauchy-Schwarz a query goes only to bands whose longest vector could reach its k-th score.
+   blocks too, in the order of the length that a vector must have to reach their k-th score (Cauchy-Schwarz). A
+   query goes only to bands that have such vectors, a band only to blocks that have such queries.
 4. A block of queries meets a block of candidates in pieces of descending length: the sum over the first
    rotated coordinates plus the product of the remaining lengths bounds each score; only pairs whose bound
    reaches the k-th score so far are scored exactly, and the k-th scores rise.
 5. The best k of each block are merged by query.
 
 Defined results: vectors that are null or hold null or non-finite components, and rows without an id, take
-no part; a row repeated with the same id counts once; shorter vectors count as padded by zeros; fewer
-candidates than k give fewer rows; an empty table gives none.
+no part; a row repeated with the same id counts once; an id with several vectors is a candidate with each of
+them and as a query has the best of all; shorter vectors count as padded by zeros; fewer candidates than k give
+fewer rows; an empty table gives none; other columns play no part. Vectors so long that a score could exceed 64
+bits raise an error.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -109,9 +113,11 @@ def top_k(vectors: DataFrame, k: int = 20, scale: float = 64.0, every: int = 20,
     some = cut(all_rows.withColumn("place", place).where(F.col("place") <= k + 1).drop("place"))
     asked = all_rows.where(F.pmod("vec_id", F.lit(every)) == 0)
     schema = "query_id long, vec_id long, score long"
-    stats = some.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width"), F.percentile_approx("length", [i / BANDS for i in range(1, BANDS)], 10_000).alias("edges")).first()
+    stats = some.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width"), F.max("length").alias("longest"), F.percentile_approx("length", [i / BANDS for i in range(1, BANDS)], 10_000).alias("edges")).first()
     if not stats["n"]:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    if stats["longest"] ** 2 >= 2.0**63:
+        raise OverflowError("inner products of these vectors can exceed 64 bits")
     width = max(1, stats["width"])
     sample = some.orderBy(F.xxhash64("vec_id")).limit(SAMPLE_ROWS).select("v").toArrow().column("v")
     rotation = np.linalg.svd(_matrix(sample, width).astype(np.float64), full_matrices=True)[2].T
@@ -135,16 +141,27 @@ def top_k(vectors: DataFrame, k: int = 20, scale: float = 64.0, every: int = 20,
     found = banded.groupBy("band").agg(F.count("*").alias("n"), F.max("length").alias("top")).collect()
     blocks = {r["band"]: math.ceil(r["n"] / block) for r in found}
     parts = F.create_map(*[F.lit(x) for r in blocks.items() for x in r])
-    n_queries = asked.count()
-    q_blocks = max(1, math.ceil(n_queries / (block // 2)))
     where = F.array(*[F.struct(F.lit(r["band"]).alias("band"), F.lit(float(r["top"])).alias("top"), F.lit(blocks[r["band"]]).alias("parts")) for r in found])
-    reach = F.filter(where, lambda b: F.col("q_length") * b["top"] * (1 + 1e-9) + 1e-6 >= F.col("least"))
-    sent = asked.withColumn("b", F.explode(reach)).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("b")["parts"] - 1)))
-    q_block = F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int")
-    sent = sent.select(q_block.alias("q_block"), F.col("b")["band"].alias("band"), "part", "query_id", "q", "least")
+    # the length from which on a vector can reach the k-th score; groups of queries by it, cut into blocks
+    asked = asked.withColumn("need", F.when(F.col("q_length") > 0, (F.col("least") - 1e-6) / (F.col("q_length") * (1 + 1e-9)) * (1 - 1e-9)).otherwise(F.lit(float("-inf"))))
+    cuts = asked.agg(F.percentile_approx("need", [i / BANDS for i in range(1, BANDS)], 10_000).alias("cuts")).first()["cuts"]
+    group = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts or []))]).cast("array<double>"), lambda c: c < F.col("need")))
+    asked = asked.withColumn("group", group)
+    sizes = sorted(map(tuple, asked.groupBy("group").agg(F.count("*"), F.min("need")).collect()))
+    if not sizes:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    counts = [math.ceil(n / (block // 2)) for _, n, _ in sizes]
+    before = F.create_map(*[F.lit(x) for (g, *_), b in zip(sizes, itertools.accumulate(counts, initial=0), strict=False) for x in (g, b)])
+    many = F.create_map(*[F.lit(x) for (g, *_), c in zip(sizes, counts, strict=True) for x in (g, c)])
+    q_block = (before[F.col("group")] + F.pmod(F.xxhash64("query_id"), many[F.col("group")])).cast("int")
+    reach = F.filter(where, lambda b: b["top"] >= F.col("need"))
+    sent = asked.withColumn("q_block", q_block).withColumn("b", F.explode(reach)).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("b")["parts"] - 1)))
+    sent = sent.select("q_block", F.col("b")["band"].alias("band"), "part", "query_id", "q", "least")
     part = F.pmod(F.xxhash64("vec_id", F.lit(1)), parts[F.col("band")]).cast("int")
-    offered = banded.withColumn("part", part).withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-    offered = offered.select("q_block", "band", "part", "vec_id", "v")
+    # of each band how many blocks have queries that it can matter to: the first ones
+    asking = F.create_map(*[F.lit(x) for r in found for x in (r["band"], sum(c for (_, _, need), c in zip(sizes, counts, strict=True) if need <= r["top"]))])
+    offered = banded.withColumn("part", part).withColumn("asking", asking[F.col("band")]).where("asking > 0")
+    offered = offered.select(F.explode(F.sequence(F.lit(0), F.col("asking") - 1)).alias("q_block"), "band", "part", "vec_id", "v")
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         q_ids, ids = left.column("query_id").to_numpy(), right.column("vec_id").to_numpy()
