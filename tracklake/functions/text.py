@@ -257,3 +257,9 @@ def reasoned(rationale_text: Column, answer: Column) -> Column:
     """A JSON object of a rationale and an answer, with a space after colons and commas."""
     quoted = lambda c: F.regexp_extract(F.to_json(F.struct(c.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
     return F.concat(F.lit('{"rationale": '), quoted(rationale_text), F.lit(', "answer": '), quoted(answer), F.lit("}"))
+
+
+def mean_abs_azimuth(text: Column) -> Column:
+    """The mean size of the azimuths that a text states; null without any."""
+    stated = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"az\s*({_N})"), F.lit(1)), lambda v: F.abs(v.cast("double")))
+    return F.try_divide(F.aggregate(stated, F.lit(0.0), lambda s, v: s + v), F.size(stated))

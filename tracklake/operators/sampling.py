@@ -18,17 +18,20 @@ def mixture(df: DataFrame, bucket: str, weights: dict[str, float], samples: int,
     """Rows drawn per bucket by weight; what a bucket lacks is filled from the others' remaining rows in hash order.
 
     Quotas are floor(samples * weight / all weights). Each bucket's rows are ranked by hash: rank up to the
-    quota is taken; then all left-over rows together are ranked by hash up to the shortfall.
+    quota is taken; then of all left-over rows together the first by hash, up to the shortfall. Ids must differ.
     """
     total = sum(weights.values())
     quota = F.coalesce(F.create_map(*[F.lit(x) for k, w in weights.items() for x in (k, int(samples * w / total))])[F.col(bucket)], F.lit(0))
     key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(row_id).cast("string")))
     ranked = df.where(F.col(bucket).isin(list(weights))).withColumn("_k", key)
-    ranked = ranked.withColumn("_r", F.row_number().over(Window.partitionBy(bucket).orderBy("_k", row_id))).withColumn("_in", F.col("_r") <= quota)
-    missing = ranked.agg((F.lit(samples) - F.count_if("_in")).alias("_need"))
-    rest = ranked.where(~F.col("_in")).crossJoin(missing)
-    rest = rest.withColumn("_f", F.row_number().over(Window.orderBy("_k", row_id))).where(F.col("_f") <= F.col("_need")).drop("_f", "_need")
-    return ranked.where("_in").unionByName(rest).drop("_k", "_r", "_in")
+    most = max(int(samples * w / total) for w in weights.values())
+    rank = F.row_number().over(Window.partitionBy(bucket).orderBy("_k", row_id))
+    taken = ranked.withColumn("_r", rank).where(F.col("_r") <= most).where(F.col("_r") <= quota).drop("_r")
+    # what is missing is drawn from the rest by a top-k: no task orders all of it
+    missing = taken.agg((F.lit(samples) - F.count("*")).alias("_need"))
+    rest = ranked.join(taken.select(F.col(row_id).alias("_taken")), F.col(row_id) == F.col("_taken"), "left_anti").orderBy("_k", row_id).limit(samples)
+    rest = rest.withColumn("_f", F.row_number().over(Window.orderBy("_k", row_id))).crossJoin(F.broadcast(missing)).where(F.col("_f") <= F.col("_need")).drop("_f", "_need")
+    return taken.unionByName(rest).drop("_k")
 
 
 def shuffled(df: DataFrame, row_id: str, seed: int = 1) -> DataFrame:
@@ -69,7 +72,7 @@ def every_kth(df: DataFrame, order: Sequence[str], step: int, n: int, key: Seque
 def round_robin(df: DataFrame, group: str, order: Sequence[str], n: int) -> DataFrame:
     """Rows taken in turn from each group: all groups' first rows, then all second ones, n in all."""
     rank = F.row_number().over(Window.partitionBy(group).orderBy(*order))
-    return df.withColumn("turn", rank).orderBy("turn", group).limit(n)
+    return df.withColumn("turn", rank).where(F.col("turn") <= n).orderBy("turn", group).limit(n)
 
 
 def shards(df: DataFrame, order: Sequence[str], key: Sequence[str], n: int) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -77,57 +77,74 @@ def first_and_last(df: DataFrame, by: Sequence[str], step: str, value: str, larg
     return out.withColumn("change", change if larger_is_better else -change)
 
 
-# ---------------------------------------------------------------- numpy inside one group
+# ---------------------------------------------------------------- small systems of numbers
 
 
-def ridge_r2(x: np.ndarray, y: np.ndarray, train: np.ndarray, alphas: Sequence[float] = (0.1, 1.0, 10.0, 100.0)) -> float:
-    """The best held-out R² over a grid of penalties; features standardised on the training part, intercept free.
+def ridge_r2(train: tuple[int, np.ndarray, np.ndarray], test: tuple[int, np.ndarray, np.ndarray], features: Sequence[int], target: int, alphas: Sequence[float] = (0.1, 1.0, 10.0, 100.0)) -> float:
+    """The best held-out R² over a grid of penalties, from each part's size, means and central second moments.
 
-    With more features than rows the dual system is solved.
+    Features are standardised on the training part, the intercept is free. Everything that the fit and its error
+    need are these moments, so a part's rows never have to be in one place.
     """
-    mean, sd = x[train].mean(axis=0), x[train].std(axis=0)
-    z = (x - mean) / np.where(sd > 1e-9, sd, 1.0)
-    centre = y[train].mean()
-    a, b, ta, tb = z[train], y[train] - centre, z[~train], y[~train] - centre
-    spread = float(((tb - tb.mean()) ** 2).sum()) if len(tb) else 0.0
-    if not len(a) or spread <= 0:
+    (n, mean, cov), (m, test_mean, test_cov) = train, test
+    if not n or not m or test_cov[target, target] <= 0:
         return math.nan
+    at = np.array(features, int)
+    sd = np.sqrt(np.maximum(cov[at, at], 0))
+    sd = np.where(sd > 1e-9, sd, 1.0)
+    a, b = n * cov[np.ix_(at, at)] / np.outer(sd, sd), n * cov[at, target] / sd
+    shift = (test_mean[at] - mean[at]) / sd
+    second = test_cov[np.ix_(at, at)] / np.outer(sd, sd) + np.outer(shift, shift)
+    off = test_mean[target] - mean[target]
     best = -math.inf
     for alpha in alphas:
-        if a.shape[1] > a.shape[0]:
-            fitted = ta @ a.T @ np.linalg.solve(a @ a.T + alpha * np.eye(len(a)), b)
-        else:
-            fitted = ta @ np.linalg.solve(a.T @ a + alpha * np.eye(a.shape[1]), a.T @ b)
-        best = max(best, 1 - float(((tb - fitted) ** 2).sum()) / spread)
+        w = np.linalg.solve(a + alpha * np.eye(len(at)), b)
+        error = test_cov[target, target] + off**2 - 2 * w @ (test_cov[at, target] / sd + shift * off) + w @ second @ w
+        best = max(best, 1 - float(error) / test_cov[target, target])
     return best
 
 
 def ridge(df: DataFrame, by: Sequence[str], target: str, families: dict[str, Sequence[str]], row_id: str, least: int = 20, unique: bool = False) -> DataFrame:
     """Held-out R² of each family of features, on identical rows and the same split by a hash of the row's id.
 
-    With ``unique`` also, per feature of a family, what R² loses without it. A group is one task's rows.
+    With ``unique`` also, per feature of a family, what R² loses without it. Means and covariances of both parts come
+    from one aggregation, combined before the shuffle; the systems are solved on one row per group.
     """
     split = F.pmod(F.xxhash64(row_id), F.lit(10)) < 7
-    names = sorted({f for fs in families.values() for f in fs})
-    rows = df.select(*by, F.col(target).cast("double").alias("_y"), split.alias("_train"), *[F.col(f).cast("double").alias(f) for f in names]).dropna()
+    names = [*sorted({f for fs in families.values() for f in fs}), target]
+    size = len(names)
+    rows = df.select(*by, split.alias("_train"), *[F.col(f).cast("double").alias(f"_{i}") for i, f in enumerate(names)]).dropna(subset=[f"_{i}" for i in range(size)])
+    aggs = []
+    for part, is_train in (("a", True), ("b", False)):
+        mine = [F.when(F.col("_train") == is_train, F.col(f"_{i}")) for i in range(size)]
+        aggs.append(F.count(mine[0]).alias(f"_n_{part}"))
+        aggs.append(F.array(*[F.avg(x) for x in mine]).alias(f"_mean_{part}"))
+        aggs.append(F.array(*[F.covar_pop(mine[i], mine[j]) for i in range(size) for j in range(i, size)]).alias(f"_cov_{part}"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*by).schema) + ", family string, without string, n long, r2 double"
-
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(group) >= least:
-            y, train = group["_y"].to_numpy(), group["_train"].to_numpy()
-            for family, features in families.items():
-                r2 = ridge_r2(group[list(features)].to_numpy(), y, train)
-                out.append((family, None, len(group), r2))
-                for f in features if unique and len(features) > 1 else ():
-                    rest = [g for g in features if g != f]
-                    out.append((family, f, len(group), r2 - ridge_r2(group[rest].to_numpy(), y, train)))
-        result = pd.DataFrame(out, columns=["family", "without", "n", "r2"])
-        for i, k in enumerate(by):
-            result.insert(i, k, group[k].iloc[0])
-        return result
-
-    return rows.groupBy(*by).applyInPandas(one, schema)
+    place = {f: i for i, f in enumerate(names)}
+
+    def moments(row: pd.Series, part: str) -> tuple[int, np.ndarray, np.ndarray]:
+        n = int(row[f"_n_{part}"])
+        if not n:
+            return 0, np.zeros(size), np.zeros((size, size))
+        cov = np.zeros((size, size))
+        cov[np.triu_indices(size)] = row[f"_cov_{part}"]
+        return n, np.array(row[f"_mean_{part}"], float), cov + np.triu(cov, 1).T
+
+    def solve(groups: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in groups:
+            out = []
+            for _, row in group.iterrows():
+                a, b, n = moments(row, "a"), moments(row, "b"), int(row["_n_a"] + row["_n_b"])
+                key = [row[k] for k in by]
+                for family, features in families.items() if n >= least else ():
+                    r2 = ridge_r2(a, b, [place[f] for f in features], place[target])
+                    out.append([*key, family, None, n, r2])
+                    for f in features if unique and len(features) > 1 else ():
+                        out.append([*key, family, f, n, r2 - ridge_r2(a, b, [place[g] for g in features if g != f], place[target])])
+            yield pd.DataFrame(out, columns=[*by, "family", "without", "n", "r2"])
+
+    return rows.groupBy(*by).agg(*aggs).mapInPandas(solve, schema)
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:

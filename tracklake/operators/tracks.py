@@ -34,10 +34,10 @@ def clip_summary(clips: DataFrame, obs: DataFrame, clip: str, track: str, t: str
     return clips.join(found, clip, "left")
 
 
-def group_stats(df: DataFrame, key: Sequence[str], value: str, conditions: dict[str, Column]) -> DataFrame:
-    """Rows, conditional counts, the largest and the exact median of a value."""
+def group_stats(df: DataFrame, key: Sequence[str], value: str, conditions: dict[str, Column], largest: str | None = None) -> DataFrame:
+    """Rows, conditional counts, the exact median of a value, and the largest of it or of another."""
     counts = [F.count_if(c).alias(k) for k, c in conditions.items()]
-    return df.groupBy(*key).agg(F.count("*").alias("n"), *counts, F.max(value).alias("largest"), F.median(value).alias("median"))
+    return df.groupBy(*key).agg(F.count("*").alias("n"), *counts, F.max(largest or value).alias("largest"), F.median(value).alias("median"))
 
 
 def two_levels(df: DataFrame, outer: Sequence[str], inner: str) -> DataFrame:
@@ -57,11 +57,16 @@ def moved_tracks(df: DataFrame, key: Sequence[str], values: Sequence[str], order
 
 
 def frame_counts(df: DataFrame, frame: Sequence[str], track: str, kind: str, rng: str, moving: Column, kinds: Sequence[str]) -> DataFrame:
-    """Distinct tracks in all, moving, and per class; the nearest one's range and class."""
-    each = [F.count_distinct(F.when(F.col(kind) == k, F.col(track))).alias(f"n_{k}") for k in kinds]
-    return df.groupBy(*frame).agg(
-        F.count_distinct(track).alias("n_tracks"), F.count_distinct(F.when(moving, F.col(track))).alias("n_moving"), *each,
-        F.min(rng).alias("nearest_range"), F.min_by(kind, F.struct(rng, track)).alias("nearest_class"),
+    """Distinct tracks in all, moving, and per class; the nearest one's range and class.
+
+    A frame's rows of one track are summed up first: then all distinct counts are plain ones, and no row is copied for each.
+    """
+    is_kind = [F.max(F.col(kind) == k).alias(f"_{k}") for k in kinds]
+    per = df.groupBy(*frame, track).agg(F.max(moving).alias("_moving"), *is_kind, F.min(rng).alias("_rng"), F.min_by(kind, rng).alias("_kind"))
+    known = F.col(track).isNotNull()
+    return per.groupBy(*frame).agg(
+        F.count(track).alias("n_tracks"), F.count_if(known & F.col("_moving")).alias("n_moving"), *[F.count_if(known & F.col(f"_{k}")).alias(f"n_{k}") for k in kinds],
+        F.min("_rng").alias("nearest_range"), F.min_by("_kind", F.struct("_rng", track)).alias("nearest_class"),
     )
 
 

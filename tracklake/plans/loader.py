@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numbers as N
@@ -95,3 +95,16 @@ def refuse_without_sensor(items: DataFrame, sensors: DataFrame, tasks: list[str]
 
 def counts(items: DataFrame) -> DataFrame:
     return items.groupBy("task").agg(F.count("*").alias("n"))
+
+
+def expand_tasks(spec: Column, trained: list[str]) -> Column:
+    """The tasks of a comma-separated list, each once in the order of its first mention; ``all`` stands for the trained ones."""
+    named = F.filter(F.transform(F.split(spec, ","), lambda t: F.trim(t)), lambda t: t != "")
+    every = F.array(*[F.lit(t) for t in trained])
+    return F.array_distinct(F.flatten(F.transform(named, lambda t: F.when(t == "all", every).otherwise(F.array(t)))))
+
+
+def ego_text(states: DataFrame, by: list[str], label: str, order: str, speed: str, accel: str, yaw: str) -> DataFrame:
+    """The ego's binned states up to now as one text: label, then s, a and y with their bins."""
+    said = F.concat(F.col(label), *[F.concat(F.lit(k), F.col(c).cast("string")) for k, c in ((":s", speed), ("a", accel), ("y", yaw))])
+    return states.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("k"), said.alias("s")))), lambda x: x["s"]), " ").alias("ego"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..operators import scoring as SC
 from ..operators import stats as ST
 
@@ -89,3 +90,55 @@ def memory_plan(modes: DataFrame, layers: int, width: int, tokens: int, limit_gi
     act = F.lit(layers * width * tokens * 2 / 2**30) * F.when(F.col("checkpointing"), 0.1).otherwise(1.0)
     out = modes.withColumn("gib", act + F.col("weights_gib") / F.col("shards")).where(F.col("gib") <= limit_gib)
     return out.orderBy(F.col("checkpointing"), "shards", "gib")
+
+
+def horizon_errors(generations: DataFrame, by: list[str], steps: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+    """The mean distance of generated from true waypoints at each step that both texts have; null where none does."""
+    both = generations.select(*by, X.waypoints(F.col("generated")).alias("p"), X.waypoints(F.col("reference")).alias("q"))
+    apart = lambda h: F.hypot(F.try_element_at("p", F.lit(h))[0] - F.try_element_at("q", F.lit(h))[0], F.try_element_at("p", F.lit(h))[1] - F.try_element_at("q", F.lit(h))[1])
+    return both.groupBy(*by).agg(*[F.avg(apart(h)).alias(f"l2_{h}s") for h in steps])
+
+
+def detection_distances(generations: DataFrame, by: list[str], near: float = 2.0) -> DataFrame:
+    """Over all true objects of answers that list any: the median distance to the nearest listed one, and the share within ``near``."""
+    both = generations.select(*by, X.objects(F.col("generated")).alias("p"), X.objects(F.col("reference")).alias("t")).where((F.size("p") > 0) & (F.size("t") > 0))
+    rows = both.select(*by, F.explode(SC.chamfer(F.col("p"), F.col("t"))).alias("d"))
+    return rows.groupBy(*by).agg(F.median("d").alias("chamfer"), F.avg((F.col("d") <= near).cast("int")).alias("within"))
+
+
+def contains_share(items: DataFrame, by: list[str], text: str, phrases: dict[str, str]) -> DataFrame:
+    """The share of texts that contain each phrase."""
+    return items.groupBy(*by).agg(*[F.avg(F.col(text).contains(p).cast("int")).alias(name) for name, p in phrases.items()])
+
+
+def frame_guard(frames: DataFrame, by: list[str], data: str) -> DataFrame:
+    """How many frames there are and how many differ; ``broken`` where several frames are all the same."""
+    out = frames.groupBy(*by).agg(F.count("*").alias("n"), F.count_distinct(F.md5(data)).alias("n_distinct"))
+    return out.withColumn("broken", (F.col("n") > 1) & (F.col("n_distinct") == 1))
+
+
+def pooled_idf1(sequences: DataFrame, by: list[str]) -> DataFrame:
+    """IDF1 of the summed counts beside the mean of the sequences' own; sequences: idtp, n_predicted, n_truth, idf1."""
+    out = sequences.groupBy(*by).agg(F.count("*").alias("n"), F.sum("idtp").alias("tp"), F.sum(F.col("n_predicted") + F.col("n_truth")).alias("all"), F.avg("idf1").alias("per_sequence"))
+    return out.select(*by, "n", F.coalesce(F.try_divide(2.0 * F.col("tp"), F.col("all")), F.lit(0.0)).alias("pooled"), "per_sequence")
+
+
+def token_confidences(tokens: DataFrame, by: list[str], place: str, piece: str, probability: str) -> DataFrame:
+    """The mean probability of the tokens of each part of an answer; a part ends with the token that holds a semicolon."""
+    earlier = Window.partitionBy(*by).orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+    part = F.coalesce(F.count_if(F.col(piece).contains(";")).over(earlier), F.lit(0))
+    return tokens.withColumn("part", part).groupBy(*by, "part").agg(F.bround(F.avg(probability), 4).alias("confidence"))
+
+
+def padded(points: DataFrame, by: list[str], order: list[str], values: list[str], size: int) -> DataFrame:
+    """One row per group: ``size`` rows of values, padded by zeros, and a mask of the real ones."""
+    ranked = points.withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).where(F.col("_i") < size)
+    out = ranked.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_i", F.array(*values).alias("v")))).alias("_p"))
+    slot = lambda f, empty: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.when(i < F.size("_p"), f(i)).otherwise(empty))
+    zeros = F.array(*[F.lit(0.0) for _ in values])
+    return out.withColumn("points", slot(lambda i: F.get("_p", i)["v"], zeros)).withColumn("mask", slot(lambda i: F.lit(True), F.lit(False))).drop("_p")
+
+
+def sparse(rows: DataFrame, by: list[str]) -> DataFrame:
+    """The real rows of padded ones, with their slot."""
+    return rows.select(*by, F.posexplode(F.arrays_zip("points", "mask")).alias("slot", "e")).where("e.mask").select(*by, "slot", F.col("e.points").alias("point"))
