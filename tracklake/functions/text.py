@@ -29,10 +29,10 @@ CONTROL = rf"\+(\d)s\s+(-?{_U})\s*m/s\s*,\s*yaw\s*({_N})\s*deg/s"
 NUMBER = rf"-?{_U}"
 CHOICE = r"(?<![A-Za-z])([A-E])(?![A-Za-z])"
 RATIONALE = r'(?s)"rationale"\s*:\s*"(.*?)"\s*,\s*"answer"\s*:\s*"(.*?)"\s*\}'
-CLAIM_WORDS = "accelerating braking steady turning left right moving stationary closing receding none all some camera radar car cars truck trucks person people bus rider".split()
+CLAIM_WORDS = ["accelerating", "braking", "steady", "turning", "left", "right", "moving", "stationary", "closing", "receding", "none", "all", "some", "camera", "radar", "car", "cars", "truck", "trucks", "person", "people", "bus", "rider"]
 ANTONYMS = [("all", "none"), ("moving", "stationary"), ("closing", "receding"), ("accelerating", "braking"), ("left", "right")]
 
-_GROUPS = ["tid", "cls", "x1", "y1", "x2", "y2", "x", "y", "z", "l", "w", "h", "yaw", "sector", "vx", "vy", "attr", "rng", "az", "motion"]
+_FIELDS = ["form", "tid", "cls", "moving", "x", "y", "z", "l", "w", "h", "yaw", "sector", "vx", "vy", "attr", "rng", "az", "x1", "y1", "x2", "y2"]
 
 
 def found(text: Column, pattern: str, groups: int) -> Column:
@@ -46,30 +46,48 @@ def _number(c: Column) -> Column:
 
 
 def objects(text: Column) -> Column:
-    """Every object of an answer: an array of structs in the order of the text."""
-    parts = [F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(OBJECT), F.lit(i + 1)).alias(g) for i, g in enumerate(_GROUPS)]
+    """Every object of an answer: an array of structs in the order of the text.
+
+    The long pattern passes over the text once; each match is then read by the short pattern of its own form.
+    """
+    from .numbers import let
+
+    head, tail = r"^(?:#(\d+)\s+)?([a-z_]+)", r"(\s+moving|\s+stationary)?$"
+    forms = {"[": (f"{head}{_BOX}{tail}", 4), "(": (f"{head}{_POINT}{_EXTENT}{_TURN}{_MOTION}{tail}", 11), "": (f"{head}{_POLAR}{tail}", 2)}
 
     def one(m: Column) -> Column:
-        x, y = _number(m["x"]), _number(m["y"])
-        box = F.when(m["x1"] != "", F.array(*[_number(m[k]) for k in ("x1", "y1", "x2", "y2")]))
-        sector = F.pmod(_number(m["sector"]) * 30.0 + 180.0, F.lit(360.0)) - 180.0
-        az = F.when(x.isNotNull(), F.degrees(F.atan2(y, x))).when(m["rng"] != "", F.coalesce(_number(m["az"]), F.lit(0.0)))
+        form = F.regexp_extract(m, rf"{head}\s*([\[(]?)", 3)
+
+        def part(kind: str, i: int) -> Column:
+            """The i-th group of the form's own part; null for other forms."""
+            return F.when(form == kind, F.nullif(F.regexp_extract(m, forms[kind][0], 2 + i), F.lit("")))
+
+        motion = F.regexp_extract(m, tail, 1).contains("moving")
+        number = lambda kind, i: part(kind, i).cast("double")
+        named = {"form": form, "tid": F.nullif(F.regexp_extract(m, head, 1), F.lit("")).cast("int"), "cls": F.regexp_extract(m, head, 2), "moving": motion}
+        named |= {k: number("(", i) for i, k in enumerate(("x", "y", "z", "l", "w", "h", "yaw", "sector", "vx", "vy"), 1)}
+        named |= {"attr": part("(", 11), "rng": number("", 1), "az": number("", 2)}
+        named |= {k: number("[", i) for i, k in enumerate(("x1", "y1", "x2", "y2"), 1)}
+        return let(built, *named.values())
+
+    def built(*values: Column) -> Column:
+        v = dict(zip(_FIELDS, values, strict=True))
+        sector = F.pmod(v["sector"] * 30.0 + 180.0, F.lit(360.0)) - 180.0
         return F.struct(
-            F.when(m["tid"] != "", m["tid"]).cast("int").alias("tid"),
-            m["cls"].alias("cls"),
-            F.when(x.isNotNull(), F.hypot(x, y)).otherwise(_number(m["rng"])).alias("rng"),
-            az.alias("az"),
-            x.alias("x"), y.alias("y"), _number(m["z"]).alias("z"),
-            box.alias("bbox"),
-            F.when(m["l"] != "", F.array(*[_number(m[k]) for k in ("l", "w", "h")])).alias("size"),
-            F.coalesce(_number(m["yaw"]), sector).alias("yaw"),
-            F.when(m["vx"] != "", F.array(_number(m["vx"]), _number(m["vy"]))).alias("vel"),
-            F.when(m["attr"] != "", m["attr"]).when(m["motion"].contains("moving"), F.lit("moving")).alias("attr"),
-            m["motion"].contains("moving").alias("moving"),
-            (x.isNotNull() | (m["az"] != "")).alias("has_az"),
+            v["tid"].alias("tid"), v["cls"].alias("cls"),
+            F.when(v["x"].isNotNull(), F.hypot(v["x"], v["y"])).otherwise(v["rng"]).alias("rng"),
+            F.when(v["x"].isNotNull(), F.degrees(F.atan2(v["y"], v["x"]))).when(v["rng"].isNotNull(), F.coalesce(v["az"], F.lit(0.0))).alias("az"),
+            v["x"].alias("x"), v["y"].alias("y"), v["z"].alias("z"),
+            F.when(v["form"] == "[", F.array(*[v[k] for k in ("x1", "y1", "x2", "y2")])).alias("bbox"),
+            F.when(v["l"].isNotNull(), F.array(v["l"], v["w"], v["h"])).alias("size"),
+            F.coalesce(v["yaw"], sector).alias("yaw"),
+            F.when(v["vx"].isNotNull(), F.array(v["vx"], v["vy"])).alias("vel"),
+            F.coalesce(v["attr"], F.when(v["moving"], F.lit("moving"))).alias("attr"),
+            v["moving"].alias("moving"),
+            (v["x"].isNotNull() | v["az"].isNotNull()).alias("has_az"),
         )
 
-    return F.transform(F.arrays_zip(*parts), one)
+    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(OBJECT), F.lit(0)), one)
 
 
 def split_objects(text: Column) -> Column:

@@ -11,7 +11,8 @@ from ..functions import geometry as G
 from ..functions import text as X
 from ..functions.numbers import decay, f1, let
 
-MATCH_M, RANGE_ONLY_M, IOU_LEAST = 2.0, 1.0, 0.3
+# How near or how much overlapping a match must be, and what a contradiction costs.
+MATCH_M, RANGE_ONLY_M, IOU_LEAST, CONTRADICTION = 2.0, 1.0, 0.3, 0.35
 
 # ---------------------------------------------------------------- greedy matching
 
@@ -245,7 +246,7 @@ def reward_choice(g: Column, r: Column) -> Column:
     return score_choice(g, r)["correct"].cast("double")
 
 
-def reward_description(g: Column, r: Column, cost: float = 0.35) -> Column:
+def reward_description(g: Column, r: Column, cost: float = CONTRADICTION) -> Column:
 
     def of(s: Column, a: Column, b: Column) -> Column:
         claim = f1(s["claim_tp"], s["claim_fp"], s["claim_fn"])

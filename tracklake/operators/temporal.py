@@ -88,10 +88,10 @@ def nearest_per_track(pairs: DataFrame, anchor: Sequence[str], track: str, t: st
     return pairs.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n")
 
 
-def horizons(anchors: DataFrame, series: DataFrame, key: Sequence[str], t: str, steps: Sequence[float], within: float, payload: Sequence[str], tie: Sequence[str] = ()) -> DataFrame:
+def horizons(anchors: DataFrame, series: DataFrame, key: Sequence[str], t: str, steps: Sequence[float], within: float, payload: Sequence[str], tie: Sequence[str] = (), width: float | None = None) -> DataFrame:
     """anchors at t + step for each step, with the nearest row no further than ``within``; stops at the first miss."""
     grid = anchors.withColumn("step", F.explode(F.array(*[F.lit(s) for s in steps]))).withColumnRenamed(t, "_anchor").withColumn(t, F.col("_anchor") + F.col("step"))
-    found = nearest_join(grid, series, key, t, payload, tie)
+    found = nearest_join(grid, series, key, t, payload, tie, width)
     found = found.withColumn("_miss", F.col("near").isNull() | (F.abs(F.col("near.t") - F.col(t)) > within))
     first = F.min(F.when(F.col("_miss"), F.col("step"))).over(Window.partitionBy(*key, "_anchor"))
     found = found.withColumn("_first", first).where(F.col("_first").isNull() | (F.col("step") < F.col("_first")))

@@ -124,12 +124,13 @@ def scan_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- time
 
-_GRID = "g AS (SELECT user_id, (unnest(range(0, 30)) * 86400000000 + (SELECT (min(epoch_us(ts)) // 86400000000) * 86400000000 FROM events))::bigint AS t FROM (SELECT DISTINCT user_id FROM events))"
+_GRID = "g AS (SELECT user_id, day * 86400000000 AS t FROM (SELECT DISTINCT user_id FROM events), (SELECT unnest(range(min(epoch_us(ts)) // 86400000000, max(epoch_us(ts)) // 86400000000 + 1)) AS day FROM events))"
 
 
 def _grid(ev: DataFrame) -> DataFrame:
-    start = ev.agg((F.floor(F.min("t") / DAY) * DAY).cast("long").alias("t0"))
-    return ev.select("user_id").distinct().crossJoin(F.broadcast(start)).select("user_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(29)), lambda i: F.col("t0") + i * F.lit(DAY))).alias("t"))
+    """Every user at the start of every day that the table covers."""
+    days = ev.agg(F.expr(f"min(t) div {DAY}").alias("a"), F.expr(f"max(t) div {DAY}").alias("b"))  # one row
+    return ev.select("user_id").distinct().crossJoin(F.broadcast(days)).select("user_id", F.explode(F.transform(F.sequence("a", "b"), lambda d: d * F.lit(DAY))).alias("t"))
 
 
 @query(f"""WITH {E}, {_GRID}, j AS (SELECT g.user_id, g.t, e.t AS et, e.event_id, e.value, row_number() OVER (PARTITION BY g.user_id, g.t ORDER BY abs(e.t - g.t), e.t, CASE WHEN e.t <= g.t THEN -e.event_id ELSE e.event_id END) AS n FROM g JOIN e USING (user_id))
@@ -145,7 +146,7 @@ v AS (SELECT p.*, (SELECT arg_max(value, event_id) FROM e WHERE e.user_id = p.us
 SELECT user_id, t, round(CASE WHEN a IS NULL THEN vb WHEN b IS NULL THEN va WHEN a = b THEN va ELSE va + (vb - va) * ((t - a)::double / (b - a)) END, 4) AS value FROM v""")
 def interpolated(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = events(spark, sf_dir)
-    return TE.interpolate(_grid(ev), ev, ["user_id"], "t", ["value"], ["event_id"]).select("user_id", "t", r("value").alias("value"))
+    return TE.interpolate(_grid(ev), ev, ["user_id"], "t", ["value"], ["event_id"], width=7 * DAY).select("user_id", "t", r("value").alias("value"))
 
 
 @query(f"""WITH {E}, p AS (SELECT a.event_id, a.user_id, b.event_type AS kind, b.event_id AS other, b.value, abs(b.t - a.t) AS d, b.t AS bt FROM e a JOIN e b ON a.user_id = b.user_id AND abs(b.t - a.t) <= 21600000000 AND a.event_type = 'purchase'),
@@ -170,7 +171,7 @@ SELECT anchor, user_id, h AS step, off, value FROM m WHERE f IS NULL OR h < f"""
 def future_horizons(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = events(spark, sf_dir)
     anchors = ev.where("event_type = 'purchase'").select(F.col("event_id").alias("anchor"), "user_id", "t")
-    out = TE.horizons(anchors, ev, ["user_id"], "t", [DAY, 2 * DAY, 3 * DAY], DAY // 2, ["value"], ["event_id"])
+    out = TE.horizons(anchors, ev, ["user_id"], "t", [DAY, 2 * DAY, 3 * DAY], DAY // 2, ["value"], ["event_id"], width=7 * DAY)
     return out.select("anchor", "user_id", "step", (F.col("near.t") - F.col("t") - F.col("step")).alias("off"), "near.value")
 
 
