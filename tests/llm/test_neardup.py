@@ -76,6 +76,11 @@ def test_repeated_and_null_ids(spark):
     docs = spark.createDataFrame([(5, "a b c d e f"), (5, "a b c d e f"), (2, "a b c d e f"), (None, "a b c d e f"), (7, "q r s t u v"), (7, "a b c d e f")], "doc_id long, text string")
     got = sorted((r["doc_id"] or -1, r["component_id"] or -1) for r in N.near_duplicates(docs, 4).collect())
     assert got == [(-1, -1), (2, 2), (5, 2), (5, 2), (7, 2), (7, 7)]
+    kept = sorted((r["doc_id"] or -1, r["text"]) for r in N.keep_one(docs, 4).collect())
+    assert kept == [(-1, "a b c d e f"), (2, "a b c d e f"), (7, "q r s t u v")]
+    # an id's other text is never compared in place of the class's own
+    twice = spark.createDataFrame([(1, "a b c d e f g h i j"), (1, "k l m n o p q r s t"), (2, "k l m n o p q r s t u"), (3, "A b c d e f g h i j z")], "doc_id long, text string")
+    assert sorted(tuple(r) for r in N.near_duplicates(twice, 4).collect()) == [(1, 7, 1), (1, 7, 1), (2, 8, 1), (3, 8, 1)]
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert N.near_duplicates(empty).collect() == [] and N.keep_one(empty).collect() == []
 

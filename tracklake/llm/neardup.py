@@ -20,8 +20,10 @@ and stop at the latest register, so a sketch costs about n + M log M operations.
 A pair of similarity 0.8 shares no band with probability (1 - 0.8**ROWS)**BANDS, under 3e-6.
 
 Defined results: documents without text or words have no shingle, link with nothing and are their own
-component; repeated rows with the same doc_id share it; a null doc_id has a null component and is kept;
-other columns pass through.
+component; repeated rows with the same doc_id and text are one document, which stays or goes with all its rows;
+of texts that share a doc_id each is judged by itself; a null doc_id has a null component and is kept; an empty
+table gives an empty result. near_duplicates() returns three columns whatever others there are; keep_one() returns
+all columns of its rows.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ from pyspark.sql import types as T
 
 from . import words as W
 from .components import components
-from .shared import rekey, restart
+from .shared import drop, rekey, store
 
 M, ROWS, BANDS = 256, 6, 42
 #: Base of the register scale, rate of the arrivals, largest register.
@@ -47,7 +49,6 @@ MARGIN = 0.13
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 #: Bits of the bitmap that stands behind the registers.
 BITS = 2048
-_WIDTH = M + BITS // 16
 
 
 def shingles(text: str | None, k: int) -> np.ndarray:
@@ -115,7 +116,13 @@ def estimate(na: np.ndarray, ra: np.ndarray, nb: np.ndarray, rb: np.ndarray) ->
     return np.take_along_axis(j, score.argmax(1)[:, None], 1)[:, 0]
 
 
-_SKETCH = T.StructType([T.StructField(c, t) for c, t in (("n", T.LongType()), ("h1", T.LongType()), ("h2", T.LongType()), ("registers", T.BinaryType()))])
+_SKETCH = T.StructType([T.StructField(c, t) for c, t in (("n", T.LongType()), ("h1", T.LongType()), ("h2", T.LongType()), ("registers", T.BinaryType()), ("bits", T.BinaryType()))])
+
+
+def _identity(s: np.ndarray) -> tuple[int, int]:
+    """Two hashes of a whole set, which stand for it."""
+    h1, h2 = int(W.mix(s).sum(dtype=np.uint64)), int(W.mix(s ^ _GOLD).sum(dtype=np.uint64))
+    return h1 - 2**63, h2 - 2**63
 
 
 def _sketches(k: int):
@@ -125,26 +132,22 @@ def _sketches(k: int):
             rows = []
             for t in texts:
                 s = shingles(t.as_py(), k)
-                if s.size:
-                    h1, h2 = int(W.mix(s).sum(dtype=np.uint64)), int(W.mix(s ^ _GOLD).sum(dtype=np.uint64))
-                    rows.append((s.size, h1 - 2**63, h2 - 2**63, sketch(s).tobytes() + bitmap(s).tobytes()))
-                else:
-                    rows.append((0, 0, 0, b""))
-            n, h1, h2, registers = zip(*rows, strict=True) if rows else ((),) * 4
-            yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(registers, pa.binary())], ["n", "h1", "h2", "registers"])
+                rows.append((s.size, *_identity(s), sketch(s).tobytes(), bitmap(s).tobytes()) if s.size else (0, 0, 0, b"", b""))
+            columns = zip(*rows, strict=True) if rows else ((),) * 5
+            yield pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 3 + [pa.binary()] * 2, strict=True)], ["n", "h1", "h2", "registers", "bits"])
 
     return run
 
 
 def _registers(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), _WIDTH)[:, :M]
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), M)
 
 
 @F.arrow_udf(T.ArrayType(T.LongType()))
 def _bitmaps(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for column in batches:
-        bits = np.ascontiguousarray(np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), _WIDTH)[:, M:]).view(np.int64)
-        yield pa.ListArray.from_arrays(pa.array(np.arange(0, bits.size + 1, BITS // 64, dtype=np.int32)), pa.array(bits.ravel()))
+        bits = np.frombuffer(b"".join(column.to_pylist()), np.int64)
+        yield pa.ListArray.from_arrays(pa.array(np.arange(0, bits.size + 1, BITS // 64, dtype=np.int32)), pa.array(bits))
 
 
 @F.arrow_udf(T.ArrayType(T.LongType()))
@@ -161,16 +164,24 @@ def _estimates(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
 
 
 def _common(k: int):
+    """How many elements two texts' sets share; -1 if one of the texts isn't the one that its class stands for."""
+
     @F.arrow_udf(T.LongType())
     def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
-        kept: dict[str, np.ndarray] = {}
-        for one, other in batches:
+        kept: dict[str, tuple[np.ndarray, int]] = {}
+
+        def known(text: str) -> tuple[np.ndarray, int]:
+            s = shingles(text, k)
+            return s, _identity(s)[0]
+
+        for one, first, other, second in batches:
             out = []
-            for a, b in zip(one, other, strict=True):
-                a = a.as_py()
+            for a, ha, b, hb in zip(one, first, other, second, strict=True):
+                a = a.as_py() or ""
                 if a not in kept:
-                    kept = {a: shingles(a, k)}  # rows come ordered by the bucket's smallest class
-                out.append(np.intersect1d(kept[a], shingles(b.as_py(), k), assume_unique=True).size)
+                    kept = {a: known(a)}  # rows come ordered by the bucket's smallest class
+                x, y = kept[a], known(b.as_py())
+                out.append(np.intersect1d(x[0], y[0], assume_unique=True).size if (x[1], y[1]) == (ha.as_py(), hb.as_py()) else -1)
             yield pa.array(out, pa.int64())
 
     return run
@@ -178,41 +189,46 @@ def _common(k: int):
 
 def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int, text: str) -> DataFrame:
     """The pairs (c, cid) whose full sets are similar enough."""
-    one = classes.select(F.col("cid").alias("c1"), F.col("n").alias("na"), F.col("registers").alias("ra"), F.col("rep").alias("rep_a"))
-    two = classes.select(F.col("cid").alias("c2"), F.col("n").alias("nb"), F.col("registers").alias("rb"), F.col("rep").alias("rep_b"))
+    one = classes.select(F.col("cid").alias("c1"), F.col("n").alias("na"), F.col("registers").alias("ra"), F.col("h1").alias("ha"), F.col("rep").alias("rep_a"))
+    two = classes.select(F.col("cid").alias("c2"), F.col("n").alias("nb"), F.col("registers").alias("rb"), F.col("h1").alias("hb"), F.col("rep").alias("rep_b"))
     near = pairs.join(two, pairs["cid"] == two["c2"]).drop("c2").join(one, pairs["c"] == one["c1"]).drop("c1")
     near = near.where(F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb"))
     near = near.withColumn("j", _estimates("na", "ra", "nb", "rb")).where(F.col("j") >= percent / 100 - MARGIN)
-    near = restart(near.select("c", "cid", "na", "nb", "rep_a", "rep_b"))
+    near = store(near.select("c", "cid", "na", "nb", "ha", "hb", "rep_a", "rep_b"))
     texts = docs.select(F.col("doc_id").alias("id"), F.col(text).alias("t"))
-    near = near.join(texts.withColumnsRenamed({"id": "id_b", "t": "text_b"}), F.col("rep_b") == F.col("id_b"))
-    near = near.join(texts.withColumnsRenamed({"id": "id_a", "t": "text_a"}), F.col("rep_a") == F.col("id_a"))
-    both = near.withColumn("common", _common(k)("text_a", "text_b"))
+    both = near.join(texts.withColumnsRenamed({"id": "id_b", "t": "text_b"}), F.col("rep_b") == F.col("id_b"))
+    both = both.join(texts.withColumnsRenamed({"id": "id_a", "t": "text_a"}), F.col("rep_a") == F.col("id_a"))
+    both = both.withColumn("common", _common(k)("text_a", "ha", "text_b", "hb")).where("common >= 0")
     both = both.where(F.lit(100) * F.col("common") >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("common")))
-    return both.select(F.col("c").alias("a"), F.col("cid").alias("b")).distinct()
-
-
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
-    """docs (with doc_id and a text column) and two columns more: n_shingles, component_id."""
-    size = docs.select("doc_id", _sketches(k)(text).alias("s")).select("doc_id", "s.*")
-    size = restart(size)
-    classes = size.where("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2", "n", "registers").agg(F.min("doc_id").alias("rep"))
-    classes = restart(classes.withColumn("cid", F.monotonically_increasing_id()))
+    out = store(both.select(F.col("c").alias("a"), F.col("cid").alias("b")).distinct())
+    del both
+    drop(near, shuffles=True)
+    return out
+
+
+def _judged(docs: DataFrame, k: int, percent: int, text: str) -> DataFrame:
+    """For each row of docs its doc_id, a hash of its text (mark), n_shingles and component_id."""
+    sketched = store(docs.select("doc_id", F.xxhash64(text).alias("mark"), _sketches(k)(text).alias("s")).select("doc_id", "mark", "s.*"))
+    classes = sketched.where("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2", "n", "registers", "bits").agg(F.min("doc_id").alias("rep"))
+    classes = store(classes.withColumn("cid", F.monotonically_increasing_id()))
+    size = store(sketched.drop("registers", "bits"))
+    drop(sketched, shuffles=True)
     members = classes.select("cid", F.explode(_keys("registers")).alias("k"))
     buckets = members.groupBy("k").agg(F.min("cid").alias("c"), F.count("*").alias("size")).where("size > 1")
     buckets = buckets.select(rekey(F.col("k"), "bigint").alias("bucket"), "c")
-    shared = restart(members.join(buckets, members["k"] == buckets["bucket"]).select("k", "cid", "c"))
-    stars = restart(shared.where("cid <> c").select("c", "cid").distinct())
-    links = restart(_confirmed(stars, classes, docs, k, percent, text))
+    shared = store(members.join(buckets, members["k"] == buckets["bucket"]).select("k", "cid", "c"))
+    stars = store(shared.where("cid <> c").select("c", "cid").distinct())
+    links = _confirmed(stars, classes, docs, k, percent, text)
     joined = components(links)
     # buckets that hold several components: pairs across them
     of = shared.join(joined, shared["cid"] == joined["node"], "left").select("k", "cid", F.coalesce("component", "cid").alias("component"))
-    of = restart(of)
+    of = store(of)
+    drop(shared, shuffles=True)
     several = of.groupBy("k").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
     several = several.select(rekey(F.col("k"), "bigint").alias("bucket"))
-    sizes = classes.select(F.col("cid").alias("id"), "n", "registers")
-    rest = of.join(several, of["k"] == several["bucket"], "left_semi").join(sizes, of["cid"] == sizes["id"]).drop("id")
-    rest = restart(rest.withColumn("bits", _bitmaps("registers")).drop("registers"))
+    sizes = classes.select(F.col("cid").alias("id"), "n", _bitmaps("bits").alias("bits"))
+    rest = store(of.join(several, of["k"] == several["bucket"], "left_semi").join(sizes, of["cid"] == sizes["id"]).drop("id"))
+    drop(of)
     one = rest.select(F.col("k").alias("k1"), F.col("cid").alias("c"), F.col("component").alias("m1"), F.col("n").alias("n1"), F.col("bits").alias("bits1"))
     able = F.lit(100) * F.least("n", "n1") >= F.lit(percent) * F.greatest("n", "n1")
     differing = F.expr(" + ".join(f"bit_count(bits[{i}] ^ bits1[{i}])" for i in range(BITS // 64)))
@@ -220,22 +236,32 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, text: str =
     able = able & (F.lit(100 + percent) * differing <= F.lit(100 - percent) * (F.col("n") + F.col("n1")))
     pairs = rest.join(one, (F.col("k") == F.col("k1")) & (F.col("m1") < F.col("component")) & able).select("c", "cid").distinct()
     seen = stars.select(F.least("c", "cid").alias("s1"), F.greatest("c", "cid").alias("s2"))
-    pairs = pairs.join(seen, (F.least("c", "cid") == F.col("s1")) & (F.greatest("c", "cid") == F.col("s2")), "left_anti")
-    more = restart(_confirmed(restart(pairs), classes, docs, k, percent, text))
+    pairs = store(pairs.join(seen, (F.least("c", "cid") == F.col("s1")) & (F.greatest("c", "cid") == F.col("s2")), "left_anti"))
+    drop(rest, stars, shuffles=True)
+    more = _confirmed(pairs, classes, docs, k, percent, text)
     if not more.isEmpty():
-        joined = components(links.unionByName(more))
+        first, joined = joined, components(links.unionByName(more))
+        drop(first)
+    drop(pairs, links, more)
     # the smallest doc_id of each component
     named = classes.select("cid", "rep", "h1", "h2", F.col("n").alias("size")).join(joined, F.col("cid") == F.col("node"), "left")
-    named = restart(named.withColumn("component", F.coalesce("component", "cid")).drop("node"))
+    named = store(named.withColumn("component", F.coalesce("component", "cid")).drop("node"))
+    drop(classes, joined, shuffles=True)
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     least = least.select(rekey(F.col("component"), "bigint").alias("m"), "component_id")
     named = named.join(least, named["component"] == least["m"]).select("h1", "h2", "size", "component_id")
-    ids = size.select("doc_id", F.col("n").alias("n_shingles"), F.col("h1").alias("g1"), F.col("h2").alias("g2"))
+    ids = size.select("doc_id", "mark", F.col("n").alias("n_shingles"), F.col("h1").alias("g1"), F.col("h2").alias("g2"))
     ids = ids.join(named, (ids["g1"] == named["h1"]) & (ids["g2"] == named["h2"]) & (ids["n_shingles"] == named["size"]), "left")
-    return ids.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    return ids.select("doc_id", "mark", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
+    """doc_id, n_shingles and component_id of each row of docs (with doc_id and a text column)."""
+    return _judged(docs, k, percent, text).drop("mark")
 
 
-def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its group; rows without an id stay."""
-    found = near_duplicates(docs, k, percent).where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti")
+def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
+    """The rows of docs whose doc_id is the smallest of their group; rows without an id stay."""
+    gone = _judged(docs, k, percent, text).where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
+    gone = gone.select(F.col("doc_id").alias("_gone"), F.col("mark").alias("_mark")).distinct()
+    return docs.join(gone, (docs["doc_id"] == gone["_gone"]) & (F.xxhash64(docs[text]) == gone["_mark"]), "left_anti")

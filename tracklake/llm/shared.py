@@ -2,37 +2,68 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
 
+#: The folders of the tables that store() made and drop() hasn't removed.
+_FOLDERS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
+    """The folder of spark.checkpoint.dir. Where that is unset, a temporary one, but only if all runs on this machine."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shared-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="shared-"))
     return sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and read it from there: later jobs start from that copy."""
+    """Checkpoint df in the shared folder: later jobs start from that copy, whatever its columns are called."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
-def restart(df: DataFrame) -> DataFrame:
-    """cut(), without the size that the planner guessed for df.
+def store(df: DataFrame) -> DataFrame:
+    """Write df as a table in the shared folder and read it from there.
 
-    The guess for a join is the product of its sides. Carried from round to round of an iteration it grows
-    to numbers of millions of digits, whose arithmetic takes longer than the work itself.
+    Unlike after a checkpoint the planner knows the size of what it reads, and drop() can remove the table as soon
+    as the tables made from it stand. One that a returned result reads stays in the folder. Column names must
+    differ by more than case.
     """
-    df = cut(df)
     spark = df.sparkSession
-    return DataFrame(spark._jsparkSession.internalCreateDataFrame(df._jdf.queryExecution().toRdd(), df._jdf.schema(), False), spark)
+    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _FOLDERS[out] = path
+    return out
+
+
+def drop(*tables: DataFrame, shuffles: bool = False) -> None:
+    """Remove tables that store() made; with ``shuffles`` also the shuffle files that no plan refers to any more.
+
+    Spark removes those when the driver's JVM collects its garbage, which can be after many large steps.
+    """
+    for table in tables:
+        remove(table.sparkSession, _FOLDERS.pop(table))
+    if shuffles:
+        gc.collect()
+        tables[0].sparkSession._jvm.System.gc()
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder, in whatever file system it is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def rekey(column: Column, kind: str) -> Column:
