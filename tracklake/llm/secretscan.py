@@ -314,7 +314,7 @@ def _windows(batches: Iterator[pa.RecordBatch], below: tuple[float, float], per_
 
     A document is sampled if its draw is under the first limit, or with base spans under the second. per_doc has
     how many windows of each of the three it gives at most, all drawn from the whole document; with base spans it
-    gives as many again from each of ``versions`` texts with varied values.
+    gives as many of the first again from each of ``versions`` texts with varied values.
     """
     for batch in batches:
         keys, numbers, places_out, tags_out = [], [], [], []
@@ -332,7 +332,9 @@ def _windows(batches: Iterator[pa.RecordBatch], below: tuple[float, float], per_
                 places, tags = features(points, starts, ends, kinds), labels(version, starts, ends, values)
                 odd = np.flatnonzero((np.add.reduceat((kinds == 3).astype(np.int32), starts) > 0) & (tags == 0))
                 named = np.searchsorted(ends, [a for a, _ in names], side="right")
-                centres = [*rng.permutation(np.concatenate((np.flatnonzero(tags == 1), named)).astype(np.int64))[: per_doc[0]], *rng.permutation(odd)[: per_doc[1]], *rng.integers(0, starts.size, per_doc[2])]
+                centres = [*rng.permutation(np.concatenate((np.flatnonzero(tags == 1), named)).astype(np.int64))[: per_doc[0]]]
+                if values is None:
+                    centres += [*rng.permutation(odd)[: per_doc[1]], *rng.integers(0, starts.size, per_doc[2])]
                 for c in centres:
                     lo, hi = max(0, int(c) - WINDOW), min(starts.size, int(c) + WINDOW)
                     keys.append(key)
@@ -343,7 +345,7 @@ def _windows(batches: Iterator[pa.RecordBatch], below: tuple[float, float], per_
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(numbers, pa.int32()), pa.array(places_out, pa.binary()), pa.array(tags_out, pa.binary())], ["key", "number", "places", "tags"])
 
 
-def train(docs: DataFrame, train_docs: int = 3000, seed: int = 17, text: str = "text", doc_id: str = "doc_id", per_doc: tuple[int, int, int] = (4, 3, 2), versions: int = 4) -> Field | None:
+def train(docs: DataFrame, train_docs: int = 1000, seed: int = 17, text: str = "text", doc_id: str = "doc_id", per_doc: tuple[int, int, int] = (4, 3, 2), versions: int = 4) -> Field | None:
     """A field trained on an expected train_docs documents with base spans and as many without, at most; equal rows teach once.
 
     per_doc: how many training windows a document gives at most around base spans, around other tokens with digits,
@@ -356,8 +358,9 @@ def train(docs: DataFrame, train_docs: int = 3000, seed: int = 17, text: str = "
     total, with_spans = counted["n"] or 0, counted["n_with"] or 0
     below = tuple(min(1.0, train_docs / n) * 2.0**53 if n else 0.0 for n in (total - with_spans, with_spans))
     drawn = rows.where(F.col("draw") < F.lit(max(below))).mapInArrow(lambda batches: _windows(batches, below, per_doc, versions), "key long, number int, places binary, tags binary")
-    got = sorted((bytes(r["places"]), bytes(r["tags"])) for r in drawn.distinct().collect())
-    field = fit([(np.frombuffer(p, np.int16).reshape(len(t), -1).astype(np.int64), np.frombuffer(t, np.int8)) for p, t in got])
+    got = drawn.distinct().select("places", "tags").toArrow()
+    got = sorted(zip(got["places"].to_pylist(), got["tags"].to_pylist(), strict=True))
+    field = fit([(np.frombuffer(p, np.int16).reshape(len(t), -1), np.frombuffer(t, np.int8)) for p, t in got])
     if field is None:
         warnings.warn(f"no field could be fitted: {with_spans} of {total} texts have base spans; only base spans are given", stacklevel=2)
     return field
