@@ -70,6 +70,41 @@ def test_against_brute_force(spark):
         assert got == brute(rows, weights, percent, epochs, 4)
 
 
+def test_equal_rows_share_what_is_left(spark):
+    docs = lambda rows: spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    ten = "w " * 10
+    for ident in (1, None):
+        got = [tuple(r["_mix"])[4:] for r in mixing.mix(docs([(ident, ten, "en", "s1")] * 6), F.lit("d"), {}, 25, 1).collect()]
+        assert sorted(got) == [(0, 0)] * 4 + [(0, 5), (1, 0)]
+    # equal ids and sizes, different texts: always the same ones are taken
+    rows = [(1, f"w{i} " * 10, "en", "s1") for i in range(9)] + [(2, "x " * 7, "en", "s1"), (3, None, "en", None), (4, "a b c", "en", None)]
+    once = [sorted(map(str, mixing.mix(docs(rows).repartition(n), mixing.number_domain(), {}, 40, 1, rows_per_range=2).collect())) for n in (1, 5)]
+    assert once[0] == once[1]
+    taken = mixing.mix(docs(rows), mixing.number_domain(), {}, 40, 1).selectExpr("sum(_mix.copies * _mix.n_tokens + _mix.prefix_tokens)").first()[0]
+    assert 40 - 2 <= taken <= 40
+    assert {(r["source"], r["_mix"]["domain"]) for r in mixing.mix(docs(rows), mixing.number_domain(), {}).collect()} == {("s1", "books"), (None, "unknown")}
+
+
+def test_sql_with_null_sources(spark, tmp_path):
+    import duckdb
+
+    from tracklake.llm import queries
+
+    rng = random.Random(9)
+    rows = [(i if i % 7 else None, " ".join("w" * rng.randint(1, 3) + str(rng.randint(0, 9)) for _ in range(rng.randint(0, 30))), rng.choice(["en", "de", None]), rng.choice(["src0", "src1", "src12", "named", None])) for i in range(300)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = queries.QUERIES["op10_mixing"](spark, str(tmp_path)).collect()
+    names = ["doc_id", "domain", "lang", "source", "n_tokens", "copies", "prefix_tokens"]
+    assert sorted(str(tuple(r[n] for n in names)) for r in got) == sorted(map(str, con.sql(f"SELECT {', '.join(names)} FROM ({queries.ORACLES['op10_mixing']})").fetchall()))
+
+
+def test_first_tokens(spark):
+    row = spark.createDataFrame([(" a\tb  \u00a0c\n d ",)], "t string").select(*[mixing.first_tokens(F.col("t"), F.lit(n)) for n in (1, 3, 9)]).first()
+    assert tuple(row) == (" a", " a\tb  \u00a0c", " a\tb  \u00a0c\n d")
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string, lang string, source string")
     assert mixing.mix(df, F.lit("d"), {}).collect() == []
