@@ -44,6 +44,38 @@ def test_given_redirects_and_empty(spark):
     assert judge(spark, []) == {}
 
 
+def test_equal_lengths_and_long_pages(spark):
+    rules = [("a.com/x/", "block"), ("b.a.com/", "allow"), ("com/x/yz/", "block")]
+    got = judge(spark, [(1, "http://b.a.com/x/yz/", None, None), (2, "http://b.a.com/x/", None, None), (3, "http://c.a.com/x/", None, None)], rules=rules)
+    assert [got[i]["rule"] for i in (1, 2, 3)] == ["com/x/yz/", "a.com/x/", "a.com/x/"]  # of equally long ones the first in order
+    n = 300_000
+    link = '<link rel=canonical href="http://blocked.com/en/a">'
+    pages = ["<!-- " * n, "<script " * n, "<link rel=canonical " * n, "<meta http-equiv='refresh' content='" + "0 " * n, link + "x" * 5 * n + "<!--" + " " * n, "<script>" + "</script " * n + ">" + link, "<" * n + link + "<link rel=canonical href=http://ok.net/de/1"]
+    got = judge(spark, [(i, f"http://long.io/{i}", html, None) for i, html in enumerate(pages)])
+    assert [got[i]["verdict"] for i in range(7)] == ["allow"] * 4 + ["block", "block", "block"]
+
+
+def test_sql_of_linked_pages(spark, tmp_path):
+    import random
+
+    import duckdb
+
+    from tracklake.llm import queries
+
+    rng = random.Random(5)
+    url = lambda: rng.choice(["http://", "HTTPS://"]) + rng.choice(["a.io", "B.io", "x.com", "example.net", "q.example.com", "ok.net", "z.org"]) + rng.choice(["", "/", "/en/7", "/de/8", "/es/", "/d/e/f", "/t"]) + rng.choice(["", "", "?q=1", "#top", "?a&b#c"])
+    target = lambda: rng.choice([url(), url(), "//a.io/t", "/t", "?q=1", "../d", "e/f", "#x", "mailto:a@b", "", "/en/7?a&amp;b"])
+    tag = lambda: rng.choice(['<link rel="canonical" href="{}">', "<LINK href='{}' rel='next canonical'/>", "<link rel=canonical href={}>", '<meta http-equiv="Refresh" content="0; URL={}">', "<meta content='5,url={}' http-equiv=refresh>", "<!-- <link rel=canonical href={}> -->", "<script><link rel=canonical href={}></script>", '<link rel="alternate" href="{}">', "<link rel=canonical href={}"]).format(target())
+    rows = [(i, rng.choice([url(), url(), url(), None, "no scheme"]) if i % 9 == 0 else url(), None if i % 8 == 0 else "".join(rng.choice([tag(), "<p>text</p>"]) for _ in range(rng.randint(0, 3)))) for i in range(160)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    names = ["page_id", "host", "path", "rule", "verdict", "decided_by"]
+    got = [tuple(r[n] for n in names) for r in queries.QUERIES["op2_urls"](spark, str(tmp_path)).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, con.sql(f"SELECT {', '.join(names)} FROM ({queries.ORACLES['op2_urls']})").fetchall()))
+    assert {r[-1] for r in got} == {"rule", "alias", "default"}
+
+
 def test_components_against_union_find(spark):
     import random
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os.path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from . import langid, mixing, neardup, pieces, quality, secretscan, sharding, to
 from .shared import table
 
 #: The public vocabulary that op7 and the pipeline use; other models by parameter.
-PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+PIECES = os.path.join(os.environ.get("TOKENIZERS", "/opt/tokenizers"), "piece_bpe_32k.model")
 
 
 def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,6 +98,32 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
  NOT base_failed AND dup_line_chars <= {quality.LINE_CHAR_LIMIT} * word_chars AND n_dup_lines <= {quality.LINE_LIMIT} * n_lines AND {" AND ".join(limits)} AS kept FROM b"""
 
 
+def _op2_sql() -> str:
+    """Rules, then the verdicts of all that a page's links reach, by recursion over both directions of the links."""
+    low = lambda x: f"translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    host = lambda x: low(f"regexp_extract(coalesce({x}, ''), '(?s)^.*?://([^/?#]*)', 1)")
+    path = lambda x: f"regexp_extract(coalesce({x}, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1)"
+    scheme = lambda x: f"regexp_extract({x}, '(?s)^(.*?)://', 1)"
+    node = lambda x: f"CASE WHEN contains({x}, '://') THEN {low(scheme(x))} || '://' || {host(x)} || regexp_extract({x}, '(?s)^.*?://[^/?#]*([^#]*)', 1) END"
+    attribute = lambda n: rf"""trim(regexp_replace(regexp_extract(tag, '(?is)[\s"'']{n}\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 1), '^["'']|["'']$', '', 'g'))"""
+    fits = lambda h, p, rule: f"({h} = '{rule.partition('/')[0]}' OR ends_with({h}, '.{rule.partition('/')[0]}')) AND starts_with({p}, '/{rule.partition('/')[2]}')"
+    longest = sorted(urls.RULES, key=lambda r: (-len(r[0]), r[0]))
+    pick = lambda h, p, at: "CASE " + " ".join(f"WHEN {fits(h, p, r[0])} THEN '{r[at]}'" for r in longest) + " END"
+    return rf"""
+WITH RECURSIVE tags AS (SELECT DISTINCT url, unnest(regexp_extract_all(regexp_replace(html, '(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)', ' ', 'g'), '(?is)<(?:link|meta)\b[^>]*(?:>|\z)')) AS tag FROM pages),
+t1 AS (SELECT url, {attribute("rel")} AS rel, {attribute("href")} AS href, {attribute("http-equiv")} AS equiv, {attribute("content")} AS content FROM tags WHERE ends_with(tag, '>') AND regexp_matches(lower(tag), 'canonical|refresh')),
+t2 AS (SELECT url, replace(CASE WHEN list_contains(regexp_split_to_array({low("rel")}, '\s+'), 'canonical') THEN href WHEN {low("equiv")} = 'refresh' THEN trim(regexp_extract(content, '(?is)^\s*[0-9.]*\s*[;,]\s*url\s*=\s*["'']?([^"'']*)', 1)) END, '&amp;', '&') AS target, {scheme("url")} AS scheme, {host("url")} AS host, {path("url")} AS path FROM t1),
+t3 AS (SELECT url, CASE WHEN target = '' THEN NULL WHEN regexp_matches(target, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN target WHEN starts_with(target, '//') THEN scheme || ':' || target WHEN starts_with(target, '/') THEN scheme || '://' || host || target
+ WHEN starts_with(target, '?') THEN scheme || '://' || host || path || target WHEN regexp_matches(target, '^(#|[A-Za-z][A-Za-z0-9+.-]*:)') THEN NULL ELSE scheme || '://' || host || CASE WHEN path = '' THEN '/' ELSE regexp_extract(path, '(?s)^(.*/)', 1) END || target END AS dest FROM t2),
+edges AS (SELECT DISTINCT {node("url")} AS a, {node("dest")} AS b FROM t3),
+sym AS (SELECT a, b FROM edges WHERE a <> b UNION SELECT b, a FROM edges WHERE a <> b),
+reach(a, b) AS (SELECT a, b FROM sym UNION SELECT r.a, s.b FROM reach r JOIN sym s ON r.b = s.a),
+passed AS (SELECT a, CASE WHEN bool_or(v = 'allow') THEN 'allow' WHEN bool_or(v = 'block') THEN 'block' END AS verdict FROM (SELECT a, {pick(host("b"), path("b"), 1)} AS v FROM reach) GROUP BY a),
+own AS (SELECT page_id, {host("url")} AS host, {path("url")} AS path, {node("url")} AS node FROM pages),
+ruled AS (SELECT *, {pick("host", "path", 0)} AS rule, {pick("host", "path", 1)} AS said FROM own)
+SELECT page_id, host, path, rule, coalesce(said, verdict, 'allow') AS verdict, CASE WHEN rule IS NOT NULL THEN 'rule' WHEN verdict IS NOT NULL THEN 'alias' ELSE 'default' END AS decided_by FROM ruled LEFT JOIN passed ON a = node"""
+
+
 _OP4_SQL = rf"""
 WITH RECURSIVE t AS (SELECT doc_id, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS ws FROM documents),
 p AS (SELECT doc_id, len(ws) AS n, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM t),
@@ -140,15 +168,15 @@ def _weight_sql(level: str) -> str:
 
 
 _OP10_SQL = rf"""
-WITH d AS (SELECT doc_id, CASE WHEN regexp_extract(source, '([0-9]{{1,9}})$', 1) = '' THEN 'other' ELSE ['web', 'books', 'code'][(regexp_extract(source, '([0-9]{{1,9}})$', 1)::int % 3) + 1] END AS domain,
+WITH d AS (SELECT doc_id, text, CASE WHEN source IS NULL THEN 'unknown' WHEN regexp_extract(source, '([0-9]{{1,9}})$', 1) = '' THEN 'other' ELSE ['web', 'books', 'code'][(regexp_extract(source, '([0-9]{{1,9}})$', 1)::int % 3) + 1] END AS domain,
  coalesce(lang, 'unknown') AS lang, coalesce(source, 'unknown') AS source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint AS n_tokens FROM documents),
 leaf AS (SELECT domain, lang, source, sum(n_tokens)::bigint AS n_tokens, (2 * sum(n_tokens))::bigint AS capacity FROM d GROUP BY ALL),
 {_fill_sql("a", "SELECT domain, sum(capacity) AS capacity, least((SELECT sum(n_tokens) * 50 // 100 FROM leaf), (SELECT sum(capacity) FROM leaf)) AS given FROM leaf GROUP BY domain", "", "domain", _weight_sql("domain"))},
 {_fill_sql("b", "SELECT leaf.domain, lang, sum(leaf.capacity) AS capacity, any_value(a.budget) AS given FROM leaf JOIN a USING (domain) GROUP BY leaf.domain, lang", "domain", "lang", _weight_sql("lang"))},
 {_fill_sql("c", "SELECT leaf.domain, leaf.lang, source, n_tokens, leaf.capacity, b.budget AS given FROM leaf JOIN b ON b.domain = leaf.domain AND b.lang = leaf.lang", "domain, lang", "source", "1")},
 e AS (SELECT d.*, CASE WHEN c.n_tokens > 0 THEN budget // c.n_tokens ELSE 0 END AS passes, budget - CASE WHEN c.n_tokens > 0 THEN budget // c.n_tokens ELSE 0 END * c.n_tokens AS rest FROM d JOIN c ON d.domain = c.domain AND d.lang = c.lang AND d.source = c.source),
-f AS (SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('19|' || passes || '|' || doc_id), n_tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM e),
+f AS (SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('19|' || passes || '|' || coalesce(doc_id::varchar, 'null ' || md5(coalesce(text, '')))), n_tokens, md5(coalesce(text, '')) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM e),
 g AS (SELECT *, rest > 0 AND before < rest AS reached, least(n_tokens, rest - before) AS taken FROM f)
 SELECT doc_id, domain, lang, source, n_tokens, (passes + (reached AND taken = n_tokens)::int)::bigint AS copies, CASE WHEN reached AND taken < n_tokens THEN taken ELSE 0 END::bigint AS prefix_tokens FROM g"""
 
-ORACLES = {"op4_neardup": _OP4_SQL, "op5_topk": _OP5_SQL, "op6_warc": _OP6_SQL, "op9_quality": _op9_sql(), "op10_mixing": _OP10_SQL}
+ORACLES = {"op2_urls": _op2_sql(), "op4_neardup": _OP4_SQL, "op5_topk": _OP5_SQL, "op6_warc": _OP6_SQL, "op9_quality": _op9_sql(), "op10_mixing": _OP10_SQL}

@@ -10,7 +10,8 @@ longest rule wins, of equally long ones the first in order of their text. Rules
 
 Links are read from the page's HTML without its comments and scripts: link elements with rel=canonical and
 meta elements with http-equiv=refresh; relative targets are resolved, fragments dropped, scheme and host
-lower-cased. Defined results: a null url, or one without ``://``, has an empty host and path, no rule and no
+lower-cased. A comment or script without an end takes the rest of the page, and so does a tag, which then counts
+for nothing: each character is passed over once, however long the page is. Defined results: a null url, or one without ``://``, has an empty host and path, no rule and no
 aliases, and is allowed; null html has no links; repeated rows are judged alike; other columns pass through.
 """
 
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import cut, rekey
+from .shared import rekey
 
 RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
 
@@ -55,36 +56,39 @@ def fitting(h: Column, p: Column, rules: list[tuple[str, str]]) -> Column:
 
 
 def _attribute(tag: Column, name: str) -> Column:
-    pattern = rf"""(?is)[\s"']{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-    return F.trim(F.concat(*[F.regexp_extract(tag, pattern, i) for i in (1, 2, 3)]))
+    value = F.regexp_extract(tag, rf"""(?is)[\s"']{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", 1)
+    return F.trim(F.regexp_replace(value, r"""^["']|["']$""", ""))
 
 
-def _resolved(target: Column, base: Column) -> Column:
-    scheme = F.regexp_extract(base, r"(?s)^(.*?)://", 1)
-    root = F.concat(scheme, F.lit("://"), host(base))
-    folder = F.regexp_extract(path(base), r"(?s)^(.*/)", 1)
-    target = F.regexp_replace(target, "&amp;", "&")
+def _resolved(target: Column, scheme: Column, host: Column, path: Column) -> Column:
+    """The target of a link on a page of this scheme, host and path."""
+    root = F.concat(scheme, F.lit("://"), host)
     return (
         F.when(target == "", None)
         .when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target)
         .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
         .when(target.startswith("/"), F.concat(root, target))
-        .when(target.startswith("?"), F.concat(root, path(base), target))
+        .when(target.startswith("?"), F.concat(root, path, target))
         .when(target.rlike(r"^(#|[A-Za-z][A-Za-z0-9+.-]*:)"), None)
-        .otherwise(F.concat(root, F.when(folder == "", F.lit("/")).otherwise(folder), target))
+        .otherwise(F.concat(root, F.when(path == "", F.lit("/")).otherwise(F.regexp_extract(path, r"(?s)^(.*/)", 1)), target))
     )
 
 
 def links(pages: DataFrame) -> DataFrame:
-    """Edges (a, b) from each page's URL to its canonical and refresh targets."""
-    bare = F.regexp_replace("html", r"(?is)<!--.*?-->|<script\b.*?</script\s*>", " ")
-    tags = pages.select("url", F.explode(F.regexp_extract_all(bare, F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))).alias("tag"))
-    rel, refresh = lower_ascii(_attribute(F.col("tag"), "rel")), lower_ascii(_attribute(F.col("tag"), "http-equiv"))
-    target = (
-        F.when(F.array_contains(F.split(rel, r"\s+"), "canonical"), _attribute(F.col("tag"), "href"))
-        .when(refresh == "refresh", F.trim(F.regexp_extract(_attribute(F.col("tag"), "content"), r"""(?is)^\s*[0-9.]*\s*[;,]\s*url\s*=\s*["']?([^"']*)""", 1)))
-    )
-    edges = tags.where(F.lower("tag").rlike("canonical|refresh")).select(node(F.col("url")).alias("a"), node(_resolved(target, F.col("url"))).alias("b"))
+    """Edges (a, b) from each page's URL to its canonical and refresh targets.
+
+    In steps whose columns the next one uses more than once: written as one expression, each use would hold all the
+    regular expressions below it, more than a generated class can.
+    """
+    bare = F.regexp_replace("html", r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)", " ")
+    tags = pages.select("url", F.explode(F.regexp_extract_all(bare, F.lit(r"(?is)<(?:link|meta)\b[^>]*+(?:>|\z)"), F.lit(0))).alias("tag"))
+    tags = tags.where(F.col("tag").endswith(">") & F.lower("tag").rlike("canonical|refresh"))
+    tags = tags.select("url", *[_attribute(F.col("tag"), a).alias(c) for a, c in (("rel", "rel"), ("href", "href"), ("http-equiv", "equiv"), ("content", "content"))])
+    refresh = F.trim(F.regexp_extract("content", r"""(?is)^\s*[0-9.]*\s*[;,]\s*url\s*=\s*["']?([^"']*)""", 1))
+    target = F.when(F.array_contains(F.split(lower_ascii(F.col("rel")), r"\s+"), "canonical"), F.col("href")).when(lower_ascii(F.col("equiv")) == "refresh", refresh)
+    tags = tags.select("url", F.regexp_replace(target, "&amp;", "&").alias("target"), F.regexp_extract("url", r"(?s)^(.*?)://", 1).alias("scheme"), host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
+    tags = tags.select(node(F.col("url")).alias("a"), _resolved(*map(F.col, ("target", "scheme", "host", "path"))).alias("to"))
+    edges = tags.select("a", node(F.col("to")).alias("b"))
     return edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").distinct()
 
 
@@ -96,7 +100,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, redirects: Dat
     edges = links(pages)
     if redirects is not None:
         edges = edges.unionByName(redirects.select(node(F.col("a")).alias("a"), node(F.col("b")).alias("b")))
-    classes = cut(components(edges))
+    classes = components(edges)
     own = classes.withColumn("fit", fitting(host(F.col("node")), path(F.col("node")), rules))
     each = own.groupBy("component").agg(F.max((F.col("fit.verdict") == "allow").cast("int")).alias("allow"), F.max((F.col("fit.verdict") == "block").cast("int")).alias("block"))
     each = each.select(rekey(F.col("component"), "string").alias("c"), F.when(F.col("allow") == 1, "allow").when(F.col("block") == 1, "block").alias("passed_on"))
