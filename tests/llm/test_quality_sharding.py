@@ -97,3 +97,66 @@ def test_shards(spark):
     for s in range(3):
         slots = sorted(r["slot"] for r in small if r["shard"] == s)
         assert slots == list(range(len(slots)))
+
+
+def test_matrix_drawn_in_two_steps_has_the_same_law():
+    # a group's row, drawn apart into its blocks' rows, against the blocks drawn at once
+    def apart(seed):
+        top = sharding.matrix({0: 60, 1: 140}, 4, (seed, 0))
+        return sharding.matrix({0: 50, 2: 10}, 4, (seed, 1), top[0])[0]
+
+    draws = np.array([apart(s) for s in range(4000)])
+    assert np.allclose(draws.mean(axis=0), 12.5, atol=0.25) and np.allclose(draws.var(axis=0), 50 * 0.25 * 0.75 * 150 / 199, rtol=0.12)
+    top = sharding.matrix({0: 60, 1: 140}, 4, 3)
+    below = sharding.matrix({0: 50, 2: 10}, 4, 9, top[0])
+    assert np.sum(list(below.values()), axis=0).tolist() == top[0] and [sum(below[b]) for b in (0, 2)] == [50, 10]
+
+
+def test_a_value_that_a_third_of_the_rows_has(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rows = [(i, "t") for i in range(1200)] + [(-1, "t")] * 600
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(sharding, "GROUP", 3)  # many groups of blocks
+    seen = []
+    real = sharding.store
+    monkeypatch.setattr(sharding, "store", lambda t: seen.append(real(t)) or seen[-1])
+    out = sharding.shard_rows(df, 5, [F.col("doc_id")], rows_per_block=100, rows_per_range=50)
+    got = sorted((r["doc_id"], r["shard"], r["slot"]) for r in out.collect())
+    sizes = [r["_n"] for r in seen[-2].collect()]  # the counts of the blocks, last taken
+    assert sum(sizes) == 1800 and max(sizes) < 200
+    for s in range(5):
+        assert sorted(x[2] for x in got if x[1] == s) == list(range(360))
+    spread = [sum(x[0] == -1 and x[1] == s for x in got) for s in range(5)]
+    assert sum(spread) == 600 and min(spread) > 80
+    again = sharding.shard_rows(df.repartition(5), 5, [F.col("doc_id")], rows_per_block=100, rows_per_range=50)
+    assert sorted((r["doc_id"], r["shard"], r["slot"]) for r in again.collect()) == got
+
+
+def test_documents_against_brute_force(spark):
+    """Blocks, the matrix, ranks and slots once more in plain Python, from Spark's hashes of each row."""
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(i, f"text {i % 50}" if i % 7 else None) for i in range(900)], "doc_id long, text string")
+    crc = {r["doc_id"]: zlib.crc32((r["text"] or "").encode()) for r in docs.collect()}
+    size = {r["doc_id"]: len((r["text"] or "").encode()) + 8 for r in docs.collect()}
+    keys = spark.createDataFrame([(i, crc[i], size[i]) for i in crc], "doc_id long, crc long, size long").select("doc_id", F.xxhash64(F.lit(7), "doc_id", "crc", "size").alias("a"), F.xxhash64(F.lit(8), "doc_id", "crc", "size").alias("b"))
+    keys = keys.withColumn("block", F.pmod(F.xxhash64(F.lit(9), "a", "b"), F.lit(9))).collect()
+    blocks = {}
+    for r in keys:
+        blocks.setdefault(r["block"], []).append((r["a"], r["b"], r["doc_id"]))
+    top = sharding.matrix({0: 900}, 24, 7)
+    counts = sharding.matrix({b: len(v) for b, v in blocks.items()}, 24, (7, 0), top[0])
+    shards = {}
+    for b, v in blocks.items():
+        order = sorted(v)
+        for s in range(24):
+            for a, c, i in order[: counts[b][s]]:
+                shards.setdefault(s, []).append(((c % 2**64) >> 1, c, a, i))
+            order = order[counts[b][s] :]
+    want = {}
+    for s, v in shards.items():
+        for n, x in enumerate(sorted(v, key=lambda x: x[1:3])):
+            want[x[3]] = (s, n)
+    got = {r["doc_id"]: (r["shard"], r["slot"], r["size"], r["text_crc32"], r["law"], r["grown_shard"]) for r in sharding.shard_documents(docs, rows_per_block=100).collect()}
+    assert got == {i: (*want[i], size[i], crc[i], "rows", None) for i in want}

@@ -1,15 +1,17 @@
 """A uniform shuffle into shards of exact sizes, by a hypergeometric communication matrix.
 
-1. Rows fall into source blocks by a hash of their values; a count gives each block's size.
-2. The driver draws the matrix of how many rows each block sends to each shard: row by row from the
-   multivariate hypergeometric distribution of the places that are left. Its margins are exact: block
-   sizes on one side, shard sizes (at most one apart) on the other.
+1. Rows fall into source blocks by a hash of their values; a count gives each block's size. Rows of a value that
+   more of them share than a block should hold are told apart by a number first, so they spread like others.
+2. The matrix of how many rows each block sends to each shard is drawn row by row from the multivariate
+   hypergeometric distribution of the places that are left. Its margins are exact: block sizes on one side, shard
+   sizes (at most one apart) on the other. The driver draws it for groups of a thousand blocks, and each group's
+   row is then drawn apart into its blocks' rows, by the same law, where the group is.
 3. Each block is permuted locally by a seeded key, and the matrix row cuts it into shards.
 4. After the exchange each shard is permuted again: a second key gives the slot. A shard is cut into key
    ranges, whose counts give each range's first slot, so no task holds a whole shard.
 
-The matrix has (blocks x shards) integers; blocks grow with the rows, ``rows_per_block`` each. Under the
-law ``rows`` equal texts needn't stay together. Defined results: null texts have 8 bytes and the CRC of no
+The matrix has (blocks x shards) integers; blocks grow with the rows, ``rows_per_block`` each, and the driver holds
+a thousandth of them. Under the law ``rows`` equal texts needn't stay together. Defined results: null texts have 8 bytes and the CRC of no
 bytes; rows that are equal in every used value are interchangeable; an empty table gives an empty result;
 other columns pass through.
 """
@@ -19,18 +21,20 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, drop, store
 
-MAX_BLOCKS = 100_000
+#: Blocks whose rows of the matrix are drawn together.
+GROUP = 1000
 
 
-def matrix(blocks: dict[int, int], shards: int, seed: int) -> dict[int, list[int]]:
-    """For each block the number of its rows that go to each shard."""
+def matrix(blocks: dict[int, int], shards: int, seed: int | tuple[int, ...], places: list[int] | None = None) -> dict[int, list[int]]:
+    """For each block the number of its rows that go to each shard; places: the shards' sizes, else as equal as can be."""
     total = sum(blocks.values())
-    left = np.array([total // shards + (s < total % shards) for s in range(shards)], np.int64)
+    left = np.array([total // shards + (s < total % shards) for s in range(shards)] if places is None else places, np.int64)
     rng, out = np.random.default_rng(seed), {}
     for b in sorted(blocks):
         draw = np.zeros(shards, np.int64)
@@ -70,18 +74,54 @@ def _inverted(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
     return lo + min(int(np.searchsorted(weights, rng.random() * weights[-1], side="right")), hi - lo)
 
 
+def _told_apart(rows: DataFrame, full: DataFrame, limit: int) -> DataFrame:
+    """rows, in which those of a value in a full block that more than ``limit`` share have hashes of their own.
+
+    They are numbered: within each partition, and on from what the partitions before hold. Which row has which
+    number depends on the partitions; that each number is there doesn't.
+    """
+    heavy = rows.join(full.select("_block"), "_block", "left_semi").groupBy("_first", "_second").agg(F.count("*").alias("_n")).where(F.col("_n") > limit)
+    heavy = store(heavy.select(F.col("_first").alias("_f"), F.col("_second").alias("_s")))
+    if heavy.isEmpty():
+        drop(heavy)
+        return rows
+    marked = rows.withColumn("_part", F.spark_partition_id()).join(heavy, (F.col("_first") == F.col("_f")) & (F.col("_second") == F.col("_s")), "left").drop("_s")
+    marked = cut(marked)
+    same = marked.where("_f IS NOT NULL")
+    held = same.groupBy("_first", "_second", "_part").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy("_first", "_second").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    held = held.select(F.col("_first").alias("_a"), F.col("_second").alias("_b"), F.col("_part").alias("_c"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    number = F.row_number().over(Window.partitionBy("_first", "_second", "_part").orderBy(F.lit(0))) + F.col("_before")
+    same = same.join(held, (F.col("_first") == F.col("_a")) & (F.col("_second") == F.col("_b")) & (F.col("_part") == F.col("_c"))).withColumn("_i", number)
+    same = same.withColumn("_first", F.xxhash64("_first", "_i")).withColumn("_second", F.xxhash64("_second", "_i"))
+    return cut(marked.where("_f IS NULL").drop("_f", "_part").unionByName(same.select(*rows.columns)))
+
+
 def shard_rows(rows: DataFrame, shards: int, key: list[Column], seed: int = 7, rows_per_block: int = 50_000, rows_per_range: int = 50_000) -> DataFrame:
     """rows with ``shard`` and ``slot``; key: what identifies a row, hashed for all random orders."""
     first, second = F.xxhash64(F.lit(seed), *key), F.xxhash64(F.lit(seed + 1), *key)
     rows = cut(rows.withColumn("_first", first).withColumn("_second", second))
     total = rows.count()
-    n_blocks = min(MAX_BLOCKS, max(1, math.ceil(total / rows_per_block)))
-    block = F.pmod(F.xxhash64(F.lit(seed + 2), "_first", "_second"), F.lit(n_blocks)).cast("int")
-    rows = rows.withColumn("_block", block)
-    counts = {r["_block"]: r["n"] for r in rows.groupBy("_block").agg(F.count("*").alias("n")).collect()}
+    n_blocks = max(1, math.ceil(total / rows_per_block))
+    block = F.pmod(F.xxhash64(F.lit(seed + 2), "_first", "_second"), F.lit(n_blocks))
+    count = lambda df: store(df.groupBy("_block").agg(F.count("*").alias("_n")))
+    blocks = count(rows.withColumn("_block", block))
+    even = _told_apart(rows.withColumn("_block", block), blocks.where(F.col("_n") > 2 * rows_per_block), rows_per_block).drop("_block").withColumn("_block", block)
+    if not blocks.where(F.col("_n") > 2 * rows_per_block).isEmpty():
+        drop(blocks)
+        blocks = count(even)
+    rows, n_groups = even, math.ceil(n_blocks / GROUP)
+    groups = blocks.groupBy(F.pmod("_block", F.lit(n_groups)).alias("_group")).agg(F.sum("_n").alias("_n"))
+    counts = {r["_group"]: r["_n"] for r in groups.collect()}
     spark = rows.sparkSession
-    ends = [(b, np.cumsum(v).tolist()) for b, v in matrix(counts, shards, seed).items()]
-    table = spark.createDataFrame(ends, "_block int, _ends array<bigint>")
+    top = spark.createDataFrame(list(matrix(counts, shards, seed).items()), "_of long, _places array<bigint>")
+
+    def draw(group: pd.DataFrame) -> pd.DataFrame:
+        found = matrix(dict(zip(group["_block"].tolist(), group["_n"].tolist(), strict=True)), shards, (seed, int(group["_of"].iloc[0])), list(group["_places"].iloc[0]))
+        return pd.DataFrame([(b, np.cumsum(v).tolist()) for b, v in found.items()], columns=["_block", "_ends"])
+
+    parts = blocks.join(top, F.pmod("_block", F.lit(n_groups)) == F.col("_of"))
+    table = store(parts.groupBy("_of").applyInPandas(draw, "_block long, _ends array<bigint>"))
     rank = F.row_number().over(Window.partitionBy("_block").orderBy("_first", "_second")) - 1
     rows = rows.withColumn("_rank", rank).join(table, "_block")
     # the shard is the number of cumulative counts that the rank has reached
