@@ -54,6 +54,15 @@ def test_archives_are_plain_zstandard(spark, tmp_path):
     assert total == len(ROWS)
 
 
+def test_archives_are_cut(spark, tmp_path):
+    pages = spark.createDataFrame(ROWS, "page_id long, url string, html string").coalesce(1)
+    warc.write(pages, str(tmp_path / "w"), records=10)
+    found = {p: list(warc.records_of(p.read_bytes())) for p in (tmp_path / "w").glob("part-*") if p.stat().st_size}
+    assert sum(map(len, found.values())) == len(ROWS) and max(map(len, found.values())) == 9 and len(found) >= len(ROWS) / 9
+    got = sorted((tuple(r)[:5] for r in warc.read(spark, str(tmp_path / "w")).collect()), key=str)
+    assert got == expected(ROWS, 0)
+
+
 def test_separator_inside_a_frame(monkeypatch):
     assert zstandard.ZstdDecompressor().decompressobj().decompress(warc.SEPARATOR) == b""
     frames = list(warc.frames(iter([warc.record(i, "u", b"z" * i, "D", i, None) for i in range(300)])))

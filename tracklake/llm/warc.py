@@ -11,8 +11,10 @@ own. A frame that happens to contain the separator is made anew with a checksum.
 
 Records with equal payloads of at least ``least`` bytes: the one with the smallest page_id is a response,
 the others are revisits that refer to it. Defined results: null html is an empty payload; a null url has no
-target header; rows that repeat the smallest page_id are all responses; a row without a page_id revisits
-unless no equal payload has one.
+target header; rows that repeat the smallest page_id are all responses, with one record id; a row without a
+page_id revisits unless no equal payload has one; html of any length is one record; other columns play no part;
+an empty table gives an empty result. An archive has ``records`` frames at most, so a reader that takes one whole
+needs bounded memory.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ SEPARATOR = b"\x50\x2a\x4d\x18\x00\x00\x00\x00"
 #: A dictionary is built from an archive's first records, up to this many bytes.
 SAMPLE_BYTES, DICTIONARY_BYTES = 2 << 20, 32 << 10
 LEVEL = 3
+#: The frames of an archive, its dictionary's included.
+RECORDS = 8192
 
 
 def sha1_base32(payload: Column) -> Column:
@@ -88,16 +92,20 @@ def build_dictionary(samples: list[bytes]) -> zstandard.ZstdCompressionDict:
         return zstandard.ZstdCompressionDict(b"".join(samples)[:DICTIONARY_BYTES] or b"WARC/1.1\r\n", dict_type=zstandard.DICT_TYPE_RAWCONTENT)
 
 
-def frames(records: Iterator[bytes]) -> Iterator[bytes]:
-    """The frames of one archive: the dictionary, then a frame for each record."""
+def frames(records: Iterator[bytes], most: int = RECORDS) -> Iterator[bytes]:
+    """The frames of archives of ``most`` frames (the last may have fewer): each the dictionary, then a frame for each record."""
+    records = iter(records)
+    while first := list(itertools.islice(records, 1)):
+        yield from _one_archive(itertools.chain(first, itertools.islice(records, most - 2)))
+
+
+def _one_archive(records: Iterator[bytes]) -> Iterator[bytes]:
     samples, held = [], 0
     for r in records:
         samples.append(r)
         held += len(r)
         if held >= SAMPLE_BYTES:
             break
-    if not samples:
-        return
     dictionary = build_dictionary(samples)
     body = dictionary.as_bytes()
     yield DICTIONARY_MAGIC + len(body).to_bytes(4, "little") + body
@@ -108,14 +116,14 @@ def frames(records: Iterator[bytes]) -> Iterator[bytes]:
         yield marked.compress(r) if SEPARATOR in frame else frame
 
 
-def _archive(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _archive(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     def records() -> Iterator[bytes]:
         for batch in batches:
             for row in zip(*batch.columns, strict=True):
                 yield record(*(x.as_py() for x in row))
 
     out, held = [], 0
-    for frame in frames(records()):
+    for frame in frames(records(), most):
         out.append(frame)
         held += len(frame)
         if held >= 4 << 20:
@@ -125,11 +133,12 @@ def _archive(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["frame"])
 
 
-def write(pages: DataFrame, path: str, least: int = 0) -> None:
-    """Archives of all pages in the folder ``path``: one for each task."""
+def write(pages: DataFrame, path: str, least: int = 0, records: int = RECORDS) -> None:
+    """Archives of all pages in the folder ``path``: of each task as many as its records need."""
     rows = deduplicated(pages, least).select(F.col("page_id").cast("long"), "url", "payload", "digest", "n_bytes", F.col("refers_to").cast("long"))
-    archives = rows.mapInArrow(_archive, "frame binary").select(F.col("frame").cast("string").alias("value"))
-    archives.write.option("lineSep", SEPARATOR.decode("latin-1")).text(path)
+    archives = rows.mapInArrow(lambda batches: _archive(batches, records), "frame binary").select(F.col("frame").cast("string").alias("value"))
+    # the sink begins a new file after as many rows as an archive has frames
+    archives.write.option("lineSep", SEPARATOR.decode("latin-1")).option("maxRecordsPerFile", records).text(path)
 
 
 def records_of(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
