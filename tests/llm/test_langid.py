@@ -41,6 +41,46 @@ def test_held_out_rows_teach_nothing(spark):
     assert a.languages == b.languages and np.array_equal(a.weights, b.weights) and np.array_equal(a.idf, b.idf)
 
 
+def brute_counts(text):
+    """Buckets of all n-grams, one by one."""
+    out, any_letter, folded = {}, False, " "
+    for c in text:
+        low = (c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else " "
+        any_letter = any_letter or c.isalpha()
+        folded += "" if low == " " and folded[-1] == " " else low
+    folded += "" if folded[-1] == " " else " "
+    for n in (1, 2, 3):
+        for i in range(len(folded) - n + 1):
+            h = 0
+            for c in folded[i : i + n]:
+                h = (h * 16777619 + ord(c)) % 2**32
+            h = (h ^ (h >> 15)) * (2654435761, 2246822519, 3266489917)[n - 1] % 2**32
+            out[h >> 17] = out.get(h >> 17, 0) + 1
+    return out if any_letter else None
+
+
+def test_predictions_against_brute_force(spark):
+    docs = corpus(spark, 120).where("doc_id IS NULL OR doc_id < 122")
+    model = langid.train(docs)
+    rows = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(docs).collect()}
+    for r in docs.collect():
+        found = brute_counts(r["text"] or "")
+        if found is None:
+            assert rows[r["doc_id"]] == ("und", 0.0)
+            continue
+        x = {b: (1 + np.log(n)) * model.idf[b] for b, n in found.items()}
+        norm = sum(v * v for v in x.values()) ** 0.5
+        z = np.array([sum(v / norm * float(model.weights[b, k]) for b, v in x.items()) for k in range(len(model.languages))]) / model.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert rows[r["doc_id"]][0] == model.languages[int(p.argmax())] and abs(rows[r["doc_id"]][1] - p.max()) < 1e-6
+
+
+def test_many_languages(spark):
+    rows = [(i, f"word{'abcdefghij'[i % 10]} text", f"l{i % 10 if i % 3 else 0}", 1) for i in range(300)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string, score int"), max_languages=4)
+    assert len(model.languages) == 4 and "l0" in model.languages
+
+
 def test_empty_table_and_no_labels(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert langid.identify(empty).collect() == []

@@ -4,7 +4,8 @@ Features: n-grams of 1 to 3 characters of the lower-cased letters (all else is o
 BUCKETS; weight (1 + log tf) * idf, each document scaled to length 1. Document frequencies come from all
 learnable rows. The weights are trained by follow-the-regularised-leader (per-coordinate FTRL-proximal)
 with L1 and L2 penalties on a sample of ``rows_per_language`` expected rows of each language, picked by a
-hash; a fifth of the sample sets the temperature that calibrates the probabilities and trains nothing.
+hash; a fifth of the sample sets the temperature that calibrates the probabilities and trains nothing. Of more
+than ``max_languages`` values of lang the most frequent are learned, of equally frequent ones the first in order.
 
 What reaches the driver: one count per language, BUCKETS document frequencies, and the sample's sparse
 vectors (at most BUCKETS entries a row). Texts are read whole, in pieces of bounded memory.
@@ -174,10 +175,10 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.binary())], ["lang", "part", "at", "tf"])
 
 
-def train(docs: DataFrame, rows_per_language: int = 1000, seed: int = 11) -> Model:
+def train(docs: DataFrame, rows_per_language: int = 1000, seed: int = 11, max_languages: int = 1000) -> Model:
     """A model learned from the rows of docs (doc_id, text, lang) that aren't held out."""
     rows = docs.select("doc_id", "text", "lang").where("text IS NOT NULL AND lang IS NOT NULL").where(remainder() != 0)
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()}
     frequencies = rows.select("text").mapInArrow(_frequencies, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     found = {r["bucket"]: r["n"] for r in frequencies.collect()}
     total = found.pop(-1, 0)
