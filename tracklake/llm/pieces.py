@@ -13,7 +13,9 @@ the state of the longest prefix that it shares with the word before.
   pieces' merges along their border, latest first, and remembered.
 
 Characters without a piece become byte pieces, or the unknown piece in models without them. Models whose
-normaliser changes characters or that have user-defined pieces are refused. A null text has no pieces.
+normaliser changes characters or that have user-defined pieces are refused. A null or empty text has no pieces;
+texts of any length are encoded whole; repeated rows are encoded alike; an empty table gives an empty result; other
+columns pass through, but one named as ``out`` is replaced.
 The spaces at which a text is split come back in decoding; a literal U+2581 reads as a space, as in the
 library.
 """
@@ -34,7 +36,7 @@ from pyspark.sql import types as T
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 #: Words and pairs that a worker remembers before it starts anew.
-MAX_WORDS, MAX_PAIRS = 400_000, 1_000_000
+MAX_WORDS, MAX_PAIRS, MAX_CHARS = 400_000, 1_000_000, 8_000_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes | float]]:
@@ -108,6 +110,7 @@ class PieceModel:
         self.parts: dict[str, tuple[str, str] | None] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
         self.words: dict[str, bytes] = {}
+        self.held = 0
 
     # ---- byte-pair merges
 
@@ -275,13 +278,22 @@ class PieceModel:
         new: set[str] = set()
         for words in split:
             new.update(words)
-        if len(known) + len(new) > MAX_WORDS:
+        self.held += sum(map(len, new))
+        if len(known) + len(new) > MAX_WORDS or self.held > MAX_CHARS:
             known.clear()
+            self.held = 0
         fresh = sorted(w for w in new if w not in known)
         for word, pieces in self.segment(fresh).items():
             known[word] = self._pieces_to_ids(pieces)
         return [np.frombuffer(b"".join([known[w] for w in words]), np.int32) for words in split]
 
+    def forget(self) -> None:
+        """Give up what encode() remembers of words and pairs."""
+        self.words.clear()
+        self.pairs.clear()
+        self.held = 0
+        pa.default_memory_pool().release_unused()
+
     def decode(self, ids: np.ndarray | list[int]) -> str:
         """The text of piece ids; the mark of the first word isn't a space of the text."""
         raw = self.raw
@@ -299,8 +311,11 @@ _PIECES = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.St
 _MODELS: dict[int, PieceModel] = {}
 
 
-def encode(df: DataFrame, model: bytes, text: str = "text", out: str = "pieces", rows_at_once: int = 2000) -> DataFrame:
-    """df with a struct column ``out``: ids, and whether decoding them gives the text again."""
+def encode(df: DataFrame, model: bytes, text: str = "text", out: str = "pieces", rows_at_once: int = 300) -> DataFrame:
+    """df with a struct column ``out``: ids, and whether decoding them gives the text again.
+
+    So many rows' words are sorted together. What a task remembers ends with it, as its worker serves other stages too.
+    """
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf(_PIECES)
@@ -319,6 +334,7 @@ def encode(df: DataFrame, model: bytes, text: str = "text", out: str = "pieces",
             ends = np.concatenate(([0], np.cumsum([len(i) for i in found], dtype=np.int64))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found) if found else np.empty(0, np.int32)))
             yield pa.StructArray.from_arrays([lists, pa.array(same, pa.bool_())], ["ids", "round_trip"])
+        m.forget()
 
     return df.withColumn(out, run(F.col(text)))
 
