@@ -53,9 +53,14 @@ def test_stages_against_brute_force(spark, tmp_path):
             assert all(got[i]["text"] == r[1] for i, r in now.items() if "token" not in r[1])
             now = {i: (i, r["text"], r["lang"], r["source"], r["n_chars"]) for i, r in got.items()}
         elif k == 3:
-            domain = lambda s: ["web", "books", "code"][int(s[3:]) % 3] if s else "other"
+            domain = lambda s: ["web", "books", "code"][int(s[3:]) % 3] if s else "unknown"
             want = mixed([r[:4] for r in now.values()], mixing.WEIGHTS, 90, 1, 19, domain)
-            assert set(got) == {i for i, (copies, _) in want.items() if copies}
+            assert set(got) == {i for i, (copies, first) in want.items() if copies or first}
+            for i, r in got.items():
+                n = want[i][1] or len(now[i][1].split())
+                assert r["text"].split() == now[i][1].split()[:n] and now[i][1].startswith(r["text"])
+                assert r["n_chars"] == len(r["text"]) or not want[i][1]
+            now = {i: (i, r["text"]) for i, r in got.items()}
         else:
             model = pieces.PieceModel(pieces.load(PIECES))
             assert all(r["round_trip"] and model.decode(r["ids"]) == now[i][1] for i, r in got.items())
