@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tracklake.llm import mixing, neardup, pieces, quality, secretscan
 from tracklake.llm.queries import PIECES
-from tracklake.llm.shared import shared_dir, ship, table
+from tracklake.llm.shared import remove, shared_dir, ship, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -37,12 +37,14 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents within their source's budget stay: 90 % of the tokens by weight, each document once at most.
 
-    Only whole documents stay. The document in which a leaf's budget ends goes, with the first tokens that mix() gives
-    it (prefix_tokens): each leaf gets less than its budget by up to its longest document, and that isn't given to others.
+    Of the document in which a leaf's budget ends the first tokens stay (with n_chars of these), so that each leaf
+    gives its budget exactly.
     """
     ship(spark)
     mixed = mixing.mix(docs.select(COLUMNS), mixing.number_domain(), mixing.WEIGHTS, percent=90, max_epochs=1)
-    return mixed.where(F.col("_mix.copies") > 0).select(COLUMNS)
+    n = F.col("_mix.prefix_tokens")
+    mixed = mixed.where((F.col("_mix.copies") > 0) | (n > 0)).withColumn("text", F.when(n > 0, mixing.first_tokens(F.col("text"), n)).otherwise(F.col("text")))
+    return mixed.withColumn("n_chars", F.when(n > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(COLUMNS)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,4 +73,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            remove(spark, f"{folder}/{k - 1}")
     return docs
