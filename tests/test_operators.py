@@ -288,3 +288,35 @@ def test_streaming(spark, tmp_path):
     assert sorted((r["n"], r["total"]) for r in spark.table("tumbling").collect()) == sorted((5, float(sum(m for m in range(a, a + 10) if m % 2 == k))) for a in range(0, 50, 10) for k in (0, 1))
     with pytest.raises(Exception):  # noqa: B017
         streams.files(spark, f"{tmp_path}/in", "not a schema")
+
+
+def test_ridge_against_rows(spark):
+    """The moments give what numpy gives on the rows themselves."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    rows = []
+    for g, n in (("a", 400), ("b", 60), ("c", 12), ("d", 90)):
+        x = rng.normal(size=(n, 3)) * [1, 50, 0.01] + [1000, -3, 0]
+        y = x[:, 0] * 2 - x[:, 1] * 0.1 + rng.normal(size=n) + 500 if g != "d" else np.full(n, 7.0)
+        rows += [(g, f"{g}{i}", *map(float, x[i]), float(y[i])) for i in range(n)]
+    df = spark.createDataFrame([*rows, ("a", "null", None, 1.0, 1.0, 1.0)], "g string, id string, x0 double, x1 double, x2 double, y double")
+    families = {"one": ["x0"], "all": ["x0", "x1", "x2"]}
+    got = {(r["g"], r["family"], r["without"]): (r["n"], r["r2"]) for r in ST.ridge(df, ["g"], "y", families, "id", unique=True).collect()}
+    train = {r["id"]: r["t"] for r in df.select("id", (F.pmod(F.xxhash64("id"), F.lit(10)) < 7).alias("t")).collect()}
+
+    def r2(group, at):
+        x, y, t = np.array([[r[2 + i] for i in at] for r in group]), np.array([r[5] for r in group]), np.array([train[r[1]] for r in group])
+        z = (x - x[t].mean(0)) / x[t].std(0)
+        a, b, rest = z[t], y[t] - y[t].mean(), y[~t] - y[t].mean()
+        fits = [z[~t] @ np.linalg.solve(a.T @ a + k * np.eye(len(at)), a.T @ b) for k in (0.1, 1.0, 10.0, 100.0)]
+        return max(1 - ((rest - f) ** 2).sum() / ((rest - rest.mean()) ** 2).sum() for f in fits)
+
+    for g in "ab":
+        group = [r for r in rows if r[0] == g]
+        whole = r2(group, [0, 1, 2])
+        assert abs(got[g, "one", None][1] - r2(group, [0])) < 1e-9 and abs(got[g, "all", None][1] - whole) < 1e-9
+        assert abs(got[g, "all", "x1"][1] - (whole - r2(group, [0, 2]))) < 1e-9 and got[g, "one", None][0] == len(group)
+    flat = got["d", "one", None][1]
+    assert not any(k[0] == "c" for k in got) and (flat is None or np.isnan(flat))
+    assert ST.ridge(df.limit(0), ["g"], "y", families, "id").collect() == []

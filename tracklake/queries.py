@@ -365,12 +365,14 @@ def rolled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SA.rolled(c, ["conv_id"], ["turn", "role", "text"], "n").select("conv_id", "turn", F.col("n").cast("long").alias("n"), F.col("rolled").cast("long").alias("rolled"))
 
 
-@query()
+@query(f"""WITH {E}, p AS (SELECT event_id, user_id, row_number() OVER w AS n, list_filter(list({{'c': user_id, 'p': value}}) OVER (PARTITION BY event_type ORDER BY t, event_id ROWS BETWEEN 32 PRECEDING AND 1 PRECEDING), lambda s: s.c <> user_id) AS pool FROM e WINDOW w AS (PARTITION BY event_type ORDER BY t, event_id))
+SELECT event_id, user_id, CASE WHEN len(pool) > 0 THEN pool[n * 7919 % greatest(len(pool), 1) + 1].p END AS control FROM p""")
 def control_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SA.control_rows(events(spark, sf_dir), ["t", "event_id"], ["event_type"], "user_id", "value").select("event_id", "user_id", "control")
 
 
-@query()
+@query("""WITH c AS (SELECT user_id, count(*) AS size, ('0x' || substr(md5('1/n|' || user_id), 1, 12))::bigint / 281474976710656.0::double AS u FROM events GROUP BY user_id)
+SELECT user_id, CASE WHEN size <= 8 THEN size ELSE floor(exp(ln(8.0::double) + u * (ln(size::double) - ln(8.0::double)))) END::bigint AS n FROM c""")
 def thinned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SA.thin(events(spark, sf_dir), ["user_id"], "event_id", 8).groupBy("user_id").agg(F.count("*").alias("n"))
 
@@ -415,7 +417,10 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("l_orderkey", "l_linenumber", r(best).alias("best_iou"), r(G.occluded(F.col("b"), F.col("near"))).alias("occluded"))
 
 
-@query()
+@query(f"""WITH {E}, s AS (SELECT user_id, t, event_id, value, value / 10 - coalesce(lag(value / 10) OVER w, 0) AS dx, -value / 20 - coalesce(lag(-value / 20) OVER w, 0) AS dy FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id, value)),
+c AS (SELECT *, least(greatest(round_even((dx + 40) / (80.0::double / 999), 0), 0), 999)::int AS cx, least(greatest(round_even((dy + 40) / (80.0::double / 999), 0), 0), 999)::int AS cy FROM s),
+b AS (SELECT *, sum(-40 + cx * (80.0::double / 999)) OVER w AS bx, sum(-40 + cy * (80.0::double / 999)) OVER w AS b_y FROM c WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id, value))
+SELECT user_id, count(*)::int AS n, string_agg('<x_' || cx || '><y_' || cy || '>', '' ORDER BY t, event_id, value) AS tokens, round(max(sqrt(pow(value / 10 - bx, 2) + pow(-value / 20 - b_y, 2))), 4) AS worst FROM b GROUP BY user_id""")
 def trajectory_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = events(spark, sf_dir).groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "event_id", "value"))), lambda s: F.array(s["value"] / 10, -s["value"] / 20)).alias("points"))
     ev = ev.withColumn("codes", G.encode_steps(F.col("points"), -40.0, 40.0)).withColumn("back", G.decode_steps(F.col("codes"), -40.0, 40.0))
@@ -480,7 +485,8 @@ def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select("page_id", stem.alias("stem"), chunk.alias("chunk"))
 
 
-@query()
+@query(r"""WITH t AS (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?])([ \t\n\x0B\f\r]+)', '\1' || chr(1) || '\2' || chr(1), 'g'), chr(1)) AS parts FROM documents), u AS (SELECT doc_id, unnest(parts) AS s, generate_subscripts(parts, 1) AS i FROM t),
+v AS (SELECT doc_id, s, i, sum(length(s)) OVER (PARTITION BY doc_id ORDER BY i) - length(s) AS place FROM u) SELECT doc_id, s AS sentence, place::int AS "start" FROM v WHERE i % 2 = 1""")
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", F.explode(X.sentences(F.col("text"))).alias("s")).select("doc_id", "s.sentence", "s.start")
 
@@ -574,7 +580,12 @@ def welch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("l_linestatus", "n_a", "n_b", r("t").alias("t"), r("d").alias("d"))
 
 
-@query()
+_PAIRED = " + ".join(f"coalesce((SELECT k FROM c WHERE c.s = g.s AND c.p = p{i} AND c.q = {i}), 0)" for i in range(5))
+
+
+@query(f"""WITH l AS (SELECT o_orderstatus AS s, l_suppkey % 7 AS p, l_partkey % 5 AS q FROM lineitem JOIN orders ON o_orderkey = l_orderkey), c AS (SELECT s, p, q, count(*) AS k FROM l GROUP BY ALL), g AS (SELECT s, count(*) AS n FROM l GROUP BY s),
+ways AS (SELECT {", ".join(f"w{i}.x AS p{i}" for i in range(5))} FROM {", ".join(f"(SELECT unnest(range(0, 7)) AS x) w{i}" for i in range(5))} WHERE {" AND ".join(f"w{i}.x <> w{j}.x" for i in range(5) for j in range(i))}),
+best AS (SELECT g.s, g.n, max({_PAIRED})::bigint AS idtp FROM g, ways GROUP BY g.s, g.n) SELECT s AS o_orderstatus, idtp, round(2.0::double * idtp / (2 * n), 4) AS idf1 FROM best""")
 def idf1(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), F.col("l_orderkey") == F.col("o_orderkey"))
     li = li.withColumn("p", (F.col("l_suppkey") % 7).cast("int")).withColumn("q", (F.col("l_partkey") % 5).cast("int"))
