@@ -9,9 +9,9 @@ Budgets are whole tokens; at each node less than one token per child stays unspe
 
 A leaf's budget is a prefix of its token stream: whole passes over the leaf, then a pass in the order of a
 hash seeded with the number of the pass, up to the budget: the document in which it ends gives only its
-first tokens, so the tokens taken are the leaf's budget exactly. The stream is cut into ranges of that hash,
-as many as the leaf has documents for, whose sums show in which range the prefix ends; only this one range is
-ordered. So no task holds a leaf, and the result of a leaf is a number of passes and one hash to compare with.
+first tokens, so the tokens taken are the leaf's budget exactly. The stream is cut into ranges of that hash, 256
+or as many more as the leaf has documents for, whose sums show in which range the prefix ends; only this one range
+is ordered. So no task holds a leaf, and the result of a leaf is a number of passes and one hash to compare with.
 
 Defined results: a null level counts as ``unknown``; a null or empty text has no tokens and is taken only
 within a prefix or a whole pass; weights that aren't given are 1, weight 0 takes nothing; rows with equal ids
@@ -97,7 +97,7 @@ def mix(docs: DataFrame, domain: Column, weights: dict[str, dict[str, int]], per
     found = found.withColumn("leaf", leaf("")).withColumn("passes", F.expr("case when n_tokens > 0 then least(budget div n_tokens, 9223372036854775807) else 0 end"))
     found = found.select("leaf", "passes", (F.col("budget") - F.col("passes") * F.col("n_tokens")).alias("rest"))
     # hexadecimal digits of the hash that tell a leaf's ranges apart
-    digits = F.least(F.lit(15), F.greatest(F.lit(0), F.ceil(F.log(16.0, F.col("n_docs") / rows_per_range)))).cast("int")
+    digits = F.least(F.lit(15), F.greatest(F.lit(2), F.ceil(F.log(16.0, F.col("n_docs") / rows_per_range)))).cast("int")
     found = store(found.join(leaves.select(F.col("leaf").alias("of"), digits.alias("digits")), F.col("leaf") == F.col("of")).drop("leaf"))
     # where the last, partial pass of each leaf ends
     part = narrow.select("id", "leaf", "n_tokens").join(found.where("rest > 0"), F.col("leaf") == F.col("of"))
