@@ -144,7 +144,8 @@ def top_k(vectors: DataFrame, k: int = 20, scale: float = 64.0, every: int = 20,
     where = F.array(*[F.struct(F.lit(r["band"]).alias("band"), F.lit(float(r["top"])).alias("top"), F.lit(blocks[r["band"]]).alias("parts")) for r in found])
     # the length from which on a vector can reach the k-th score; groups of queries by it, cut into blocks
     asked = asked.withColumn("need", F.when(F.col("q_length") > 0, (F.col("least") - 1e-6) / (F.col("q_length") * (1 + 1e-9)) * (1 - 1e-9)).otherwise(F.lit(float("-inf"))))
-    cuts = asked.agg(F.percentile_approx("need", [i / BANDS for i in range(1, BANDS)], 10_000).alias("cuts")).first()["cuts"]
+    n_groups = min(BANDS, math.ceil(asked.count() / (block // 2)))
+    cuts = asked.agg(F.percentile_approx("need", [i / n_groups for i in range(1, n_groups)], 10_000).alias("cuts")).first()["cuts"] if n_groups > 1 else []
     group = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts or []))]).cast("array<double>"), lambda c: c < F.col("need")))
     asked = asked.withColumn("group", group)
     sizes = sorted(map(tuple, asked.groupBy("group").agg(F.count("*"), F.min("need")).collect()))
