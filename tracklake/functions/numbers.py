@@ -15,6 +15,11 @@ def fixed(x: Column, decimals: int = 0, plus: bool = False) -> Column:
     return F.when(x.isNull(), None).otherwise(text)
 
 
+def round_even(x: Column, decimals: int) -> Column:
+    """x rounded as a binary number: the product with the power of ten, not x's decimal text, tells what is halfway."""
+    return F.rint(x * float(10**decimals)) / float(10**decimals)
+
+
 def band(x: Column, step: float) -> Column:
     """The nearest multiple of step, ties to the even multiple."""
     return F.bround(x / step, 0) * step

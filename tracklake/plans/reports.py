@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.numbers import round_even
 from ..operators import scoring as SC
 from ..operators import stats as ST
 
@@ -127,7 +128,7 @@ def token_confidences(tokens: DataFrame, by: list[str], place: str, piece: str,
     """The mean probability of the tokens of each part of an answer; a part ends with the token that holds a semicolon."""
     earlier = Window.partitionBy(*by).orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
     part = F.coalesce(F.count_if(F.col(piece).contains(";")).over(earlier), F.lit(0))
-    return tokens.withColumn("part", part).groupBy(*by, "part").agg(F.bround(F.avg(probability), 4).alias("confidence"))
+    return tokens.withColumn("part", part).groupBy(*by, "part").agg(round_even(F.avg(probability), 4).alias("confidence"))
 
 
 def padded(points: DataFrame, by: list[str], order: list[str], values: list[str], size: int) -> DataFrame:
