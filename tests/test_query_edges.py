@@ -45,3 +45,8 @@ def test_nearest_class_by_price_and_part_together(spark, tmp_path):
     lines = {"l_orderkey": [1, 1, 2, 2], "l_partkey": [900_000, 3, 3, 4], "l_quantity": [30.0, 5.0, 30.0, 5.0], "l_extendedprice": [1000.0, 1000.01, 5.0, 5.0]}
     part = {"p_partkey": [900_000, 3, 4], "p_size": [0, 1, 2]}
     assert not differing(spark, tmp_path, "frame_counts", lineitem=lines, part=part)
+
+
+def test_jumps_of_half_a_turn(spark, tmp_path):
+    values = [0.0, 15.0, 0.0, 45.0, 30.0, 14.999999999999998, 30.0, 75.00000000000001, 0.3, 15.3, 45.3]
+    assert not differing(spark, tmp_path, "unwrapped", events=events(values))

@@ -123,12 +123,19 @@ def index_gradient(y: str, t: str, key: Sequence[str], order: Sequence[str]) ->
     return F.try_divide(b - a, e - s)
 
 
-def unwrap(df: DataFrame, y: str, key: Sequence[str], order: Sequence[str], turn: float, out: str) -> DataFrame:
-    """df with jumps of more than half a turn taken out of an angle."""
+def unwrap(df: DataFrame, y: str, key: Sequence[str], order: Sequence[str], turn: float, out: str, keep_half: bool = True) -> DataFrame:
+    """df with jumps of more than half a turn taken out of an angle.
+
+    A jump up by exactly half a turn stays, as in numpy; without ``keep_half`` it is taken out as well, and the
+    turns in a jump are counted by the floor of their quotient.
+    """
     w = Window.partitionBy(*key).orderBy(*order)
     d = F.col(y) - F.lag(y).over(w)
-    wrapped = wrap(d, turn)
-    wrapped = F.when((wrapped == -turn / 2) & (d > 0), F.lit(turn / 2)).otherwise(wrapped)
+    if keep_half:
+        wrapped = wrap(d, turn)
+        wrapped = F.when((wrapped == -turn / 2) & (d > 0), F.lit(turn / 2)).otherwise(wrapped)
+    else:
+        wrapped = d + turn / 2 - turn * F.floor((d + turn / 2) / turn) - turn / 2
     df = df.withColumn("_fix", F.when(F.abs(d) < turn / 2, F.lit(0.0)).otherwise(F.coalesce(wrapped - d, F.lit(0.0))))
     return df.withColumn(out, F.col(y) + F.sum("_fix").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_fix")
 
