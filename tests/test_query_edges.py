@@ -50,3 +50,8 @@ def test_nearest_class_by_price_and_part_together(spark, tmp_path):
 def test_jumps_of_half_a_turn(spark, tmp_path):
     values = [0.0, 15.0, 0.0, 45.0, 30.0, 14.999999999999998, 30.0, 75.00000000000001, 0.3, 15.3, 45.3]
     assert not differing(spark, tmp_path, "unwrapped", events=events(values))
+
+
+def test_controls_of_a_long_event_type(spark, tmp_path):
+    n = 280_000  # place 271,181 times 7,919 is more than 2**31
+    assert not differing(spark, tmp_path, "control_rows", events=events([float(i) for i in range(n)], [i % 7 for i in range(n)]))

@@ -86,7 +86,7 @@ def control_rows(df: DataFrame, order: Sequence[str], key: Sequence[str], clip:
     df = df.withColumn("_n", F.row_number().over(w)).withColumn("_pool", F.collect_list(F.struct(F.col(clip).alias("c"), F.col(payload).alias("p"))).over(w.rowsBetween(-pool, -1)))
     others = F.filter("_pool", lambda s: s["c"] != F.col(clip))
     df = df.withColumn("_pool", others)
-    place = F.when(F.size("_pool") > 0, F.pmod(F.col("_n") * prime, F.greatest(F.size("_pool"), F.lit(1))) + 1).cast("int")
+    place = F.when(F.size("_pool") > 0, F.pmod(F.col("_n").cast("long") * prime, F.greatest(F.size("_pool"), F.lit(1))) + 1).cast("int")
     return df.withColumn("control", F.when(F.size("_pool") > 0, F.try_element_at("_pool", place)["p"])).drop("_n", "_pool")
 
 
