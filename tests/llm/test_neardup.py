@@ -106,3 +106,9 @@ def test_sketch_merges_and_estimates():
 def test_words():
     s, e = word_bounds(code_points(" a\tbc\x0bd  "))
     assert [(int(a), int(b)) for a, b in zip(s, e, strict=True)] == [(1, 2), (3, 5), (6, 7)]
+
+
+def test_a_pair_is_given_by_its_first_shared_band(spark):
+    rows = [([1, 2, 3], [9, 2, 3]), ([1, 2, 3], [1, 2, 3]), ([1, 2, 3], [4, 5, 6])]
+    got = spark.createDataFrame(rows, "a array<long>, b array<long>").select(N.first_shared("a", "b", 3).alias("k")).collect()
+    assert [r["k"] for r in got] == [2, 1, None]

@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -187,6 +187,11 @@ def _common(k: int):
     return run
 
 
+def first_shared(one: str, other: str, bands: int = BANDS) -> Column:
+    """The key of the first band in which two arrays of keys agree; null without any."""
+    return F.expr("coalesce(" + ", ".join(f"if({one}[{i}] = {other}[{i}], {one}[{i}], NULL)" for i in range(bands)) + ")")
+
+
 def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int, text: str) -> DataFrame:
     """The pairs (c, cid) whose full sets are similar enough."""
     one = classes.select(F.col("cid").alias("c1"), F.col("n").alias("na"), F.col("registers").alias("ra"), F.col("h1").alias("ha"), F.col("rep").alias("rep_a"))
@@ -226,14 +231,16 @@ def _judged(docs: DataFrame, k: int, percent: int, text: str) -> DataFrame:
     drop(shared, shuffles=True)
     several = of.groupBy("k").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
     several = several.select(rekey(F.col("k"), "bigint").alias("bucket"))
-    sizes = classes.select(F.col("cid").alias("id"), "n", _bitmaps("bits").alias("bits"))
+    sizes = classes.select(F.col("cid").alias("id"), "n", _bitmaps("bits").alias("bits"), _keys("registers").alias("keys"))
     rest = store(of.join(several, of["k"] == several["bucket"], "left_semi").join(sizes, of["cid"] == sizes["id"]).drop("id"))
     drop(of)
-    one = rest.select(F.col("k").alias("k1"), F.col("cid").alias("c"), F.col("component").alias("m1"), F.col("n").alias("n1"), F.col("bits").alias("bits1"))
+    one = rest.select(F.col("k").alias("k1"), F.col("cid").alias("c"), F.col("component").alias("m1"), F.col("n").alias("n1"), F.col("bits").alias("bits1"), F.col("keys").alias("keys1"))
     able = F.lit(100) * F.least("n", "n1") >= F.lit(percent) * F.greatest("n", "n1")
     differing = F.expr(" + ".join(f"bit_count(bits[{i}] ^ bits1[{i}])" for i in range(BITS // 64)))
     # similar sets differ in at most (100 - percent) / (100 + percent) of the sum of their sizes
     able = able & (F.lit(100 + percent) * differing <= F.lit(100 - percent) * (F.col("n") + F.col("n1")))
+    # of the buckets that a pair shares only that of its first band gives the pair
+    able = able & (first_shared("keys", "keys1") == F.col("k"))
     pairs = rest.join(one, (F.col("k") == F.col("k1")) & (F.col("m1") < F.col("component")) & able).select("c", "cid").distinct()
     seen = stars.select(F.least("c", "cid").alias("s1"), F.greatest("c", "cid").alias("s2"))
     pairs = store(pairs.join(seen, (F.least("c", "cid") == F.col("s1")) & (F.greatest("c", "cid") == F.col("s2")), "left_anti"))
