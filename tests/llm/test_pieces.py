@@ -91,3 +91,10 @@ def test_table(spark):
     assert all(r["back"] == (r["text"] or "") for r in back)
     assert pieces.encode(df.limit(0), pieces.load(PIECES)).collect() == []
     assert hashlib.sha256(b"").hexdigest()
+
+
+def test_known_words_take_no_room_again():
+    m = pieces.PieceModel(pieces.load(PIECES))
+    m.encode(["some plain words"])
+    m.encode(["some plain words", "plain words", "some words"])
+    assert m.held == sum(map(len, m.words))

@@ -97,7 +97,8 @@ class PieceModel:
         self.longest = max(map(len, self.ids), default=1)
         self.floor = min(self.scores.values(), default=0.0) - 10.0
         #: What a piece of two characters or more can end with: no longer one begins where this has no entry.
-        self.suffixes = {p[i:] for p in self.ids for i in range(len(p) - 1)}
+        #: Each is mapped to whether it is a piece itself.
+        self.suffixes = {p[i:]: p[i:] in self.ids for p in self.ids for i in range(len(p) - 1)}
         self.breaks = not any("\n" in p and len(p) > 1 for p in self.ids)
         order = sorted((p for p in self.ids if len(p) > 1), key=lambda p: -self.scores[p])
         self.rank: dict[str, int] = {}
@@ -165,7 +166,7 @@ class PieceModel:
 
     def _walk_bpe(self, words: list[str]) -> dict[str, list[str]]:
         """segment() by merges: ``last`` holds the last piece of the merge result of each prefix."""
-        ids, parts, pairs, suffixes, longest = self.ids, self.parts, self.pairs, self.suffixes, self.longest
+        parts, pairs, suffixes, longest = self.parts, self.pairs, self.suffixes, self.longest
         out, before, last = {}, "", [""]
         for word in words:
             shared, n = 0, len(word)
@@ -179,9 +180,10 @@ class PieceModel:
                 ends = []
                 for j in range(i - 2, max(i - longest, 0) - 1, -1):
                     piece = word[j:i]
-                    if piece not in suffixes:
+                    whole = suffixes.get(piece)
+                    if whole is None:
                         break
-                    if piece in ids:
+                    if whole:
                         ends.append(piece)
                 for piece in reversed(ends):
                     made = parts.get(piece, 0)
@@ -278,11 +280,13 @@ class PieceModel:
         new: set[str] = set()
         for words in split:
             new.update(words)
-        self.held += sum(map(len, new))
-        if len(known) + len(new) > MAX_WORDS or self.held > MAX_CHARS:
-            known.clear()
-            self.held = 0
         fresh = sorted(w for w in new if w not in known)
+        size = sum(map(len, fresh))
+        if len(known) + len(fresh) > MAX_WORDS or self.held + size > MAX_CHARS:
+            known.clear()
+            fresh = sorted(new)
+            self.held, size = 0, sum(map(len, new))
+        self.held += size
         for word, pieces in self.segment(fresh).items():
             known[word] = self._pieces_to_ids(pieces)
         return [np.frombuffer(b"".join([known[w] for w in words]), np.int32) for words in split]
