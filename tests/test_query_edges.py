@@ -55,3 +55,21 @@ def test_jumps_of_half_a_turn(spark, tmp_path):
 def test_controls_of_a_long_event_type(spark, tmp_path):
     n = 280_000  # place 271,181 times 7,919 is more than 2**31
     assert not differing(spark, tmp_path, "control_rows", events=events([float(i) for i in range(n)], [i % 7 for i in range(n)]))
+
+
+def test_precision_envelope_in_linear_time(spark):
+    from pyspark.sql import functions as F
+
+    from tracklake.operators import scoring as SC
+
+    n = 60_000
+    rows = spark.range(n).select(F.lit(1).alias("g"), "id", (F.lit(float(n)) - F.col("id")).alias("c"), (F.col("id") % 3 == 0).alias("hit"), F.lit(n // 3).alias("n"))
+    out = SC.average_precision(rows, ["g"], "c", "hit", "n", "id")
+    hits, best, want = n // 3, 0.0, 0.0
+    for k in range(n, 0, -1):
+        best = max(best, hits / k)
+        if (k - 1) % 3 == 0:
+            want += best / (n // 3)
+            hits -= 1
+    assert abs(out.first()["ap"] - want) < 1e-9
+    assert "unboundedfollowing" not in out._jdf.queryExecution().toString().lower()

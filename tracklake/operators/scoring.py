@@ -352,7 +352,9 @@ def average_precision(rows: DataFrame, by: list[str], confidence: str, hit: str,
     order = Window.partitionBy(*by).orderBy(F.desc(confidence), tie)
     rows = rows.withColumn("_tp", F.sum(F.col(hit).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_k", F.row_number().over(order))
     rows = rows.withColumn("_recall", F.try_divide(F.col("_tp"), F.col(truths))).withColumn("_precision", F.col("_tp") / F.col("_k"))
-    rows = rows.withColumn("_envelope", F.max("_precision").over(order.rowsBetween(0, Window.unboundedFollowing)))
+    # from the last row on: a frame that ends with the group would be gone through again for each row
+    back = Window.partitionBy(*by).orderBy(F.desc("_k")).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_envelope", F.max("_precision").over(back))
     rows = rows.withColumn("_gain", F.col("_recall") - F.coalesce(F.lag("_recall").over(order), F.lit(0.0)))
     return rows.groupBy(*by).agg(F.sum(F.col("_gain") * F.col("_envelope")).alias("ap"))
 
