@@ -73,3 +73,18 @@ def test_precision_envelope_in_linear_time(spark):
             hits -= 1
     assert abs(out.first()["ap"] - want) < 1e-9
     assert "unboundedfollowing" not in out._jdf.queryExecution().toString().lower()
+
+
+def test_quantiles_keep_no_map_of_all_values(spark):
+    from pyspark.sql import functions as F
+
+    from tracklake.operators import stats as ST
+
+    inf, nan = float("inf"), float("nan")
+    columns = {"a": [float(i * i % 101) for i in range(150)], "b": [1e9] * 100 + [0.5] * 50, "c": [inf, -inf, nan] + [None] * 140 + [2.0, 4.0, 4.0, 7.0, 9.0, 1.0, 0.0], "d": [None] * 150}
+    df = spark.createDataFrame(list(zip(*columns.values(), strict=True)), ", ".join(f"{c} double" for c in columns))
+    got = ST.quantile_profile(df, list(columns))
+    assert "percentile(" not in got._jdf.queryExecution().toString()
+    for r in got.collect():
+        want = df.agg(F.count(r["name"]), *[F.percentile(r["name"], q) for q in (0.01, 0.5, 0.99)]).first()
+        assert str(tuple(r)[1:]) == str(tuple(want))

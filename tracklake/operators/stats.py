@@ -52,10 +52,40 @@ def value_counts(df: DataFrame, by: str) -> DataFrame:
     return out.crossJoin(total).withColumn("share", F.col("n") / F.col("_all")).drop("_all")
 
 
-def quantile_profile(df: DataFrame, columns: Sequence[str], at: Sequence[float] = (0.01, 0.5, 0.99)) -> DataFrame:
-    """One row per column with its exact quantiles."""
+def quantile_profile(df: DataFrame, columns: Sequence[str], at: Sequence[float] = (0.01, 0.5, 0.99), bins: int = 4096) -> DataFrame:
+    """One row per column with its exact quantiles, by linear interpolation.
+
+    Equal values are counted first. The counts of bins of equal width tell in which bins the wanted places lie, and
+    only these bins' values are put in order: no task holds all distinct values of a column.
+    """
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in columns])).alias("e")).select("e.*")
-    return long.groupBy("name").agg(F.count("value").alias("n"), *[F.percentile("value", q).alias(f"p{round(100 * q)}") for q in at])
+    counts = long.groupBy("name", "value").agg(F.count("*").alias("k"))
+    finite = F.when(~F.isnan("value") & (F.abs("value") < float("inf")), F.col("value"))
+    totals = counts.groupBy("name").agg(F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("k"))), F.lit(0)).alias("n"), F.min(finite).alias("lo"), F.max(finite).alias("hi"))
+    share = F.coalesce(F.try_divide(F.col("value") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0))
+    # infinite and not-a-number values have bins of their own at the ends
+    place = F.when(F.isnan("value"), bins + 1).when(F.col("value") == float("inf"), bins).when(F.col("value") == float("-inf"), -1)
+    place = place.otherwise(F.floor(F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)) * (bins - 1)).cast("int"))
+    binned = counts.where(F.col("value").isNotNull()).join(F.broadcast(totals), "name").withColumn("bin", place)
+    order = Window.partitionBy("name").orderBy("bin")
+    tall = binned.groupBy("name", "bin", "n").agg(F.sum("k").alias("size")).withColumn("before", F.sum("size").over(order) - F.col("size"))
+    position = {q: F.lit(q) * (F.col("n") - 1) for q in at}
+    low, high = {q: F.floor(p) for q, p in position.items()}, {q: F.ceil(p) for q, p in position.items()}
+    inside = lambda rank, start, size: (rank >= F.col(start)) & (rank < F.col(start) + F.col(size))
+    wanted = F.lit(False)
+    for q in at:
+        wanted = wanted | inside(low[q], "before", "size") | inside(high[q], "before", "size")
+    few = tall.where(wanted).select("name", "bin", "before")
+    rows = binned.join(F.broadcast(few), ["name", "bin"])
+    rows = rows.withColumn("start", F.col("before") + F.sum("k").over(Window.partitionBy("name", "bin").orderBy("value")) - F.col("k"))
+    found = [F.max(F.when(inside(rank[q], "start", "k"), F.col("value"))).alias(f"{side}{i}") for i, q in enumerate(at) for side, rank in (("a", low), ("b", high))]
+    ends = totals.select("name", "n").join(rows.groupBy("name").agg(*found), "name", "left")
+
+    def between(i: int, q: float) -> Column:
+        a, b = F.col(f"a{i}"), F.col(f"b{i}")
+        return F.when(a == b, a).otherwise((high[q] - position[q]) * a + (position[q] - low[q]) * b)
+
+    return ends.select("name", "n", *[between(i, q).alias(f"p{round(100 * q)}") for i, q in enumerate(at)])
 
 
 def coverage_vocabulary(df: DataFrame, token: str, share: float = 0.999) -> DataFrame:
