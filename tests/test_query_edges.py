@@ -88,3 +88,16 @@ def test_quantiles_keep_no_map_of_all_values(spark):
     for r in got.collect():
         want = df.agg(F.count(r["name"]), *[F.percentile(r["name"], q) for q in (0.01, 0.5, 0.99)]).first()
         assert str(tuple(r)[1:]) == str(tuple(want))
+
+
+def test_tracking_reads_each_text_once(spark):
+    from pyspark.sql import functions as F
+
+    from tracklake.functions import text as X
+    from tracklake.operators import scoring as SC
+
+    rows = spark.createDataFrame([("#1 car 10m az+0deg", "#1 car 10m az+0deg; #2 bus 60m az-3deg", "t-1s: #1 car 10m az+0deg")], "g string, r string, p string")
+    out = rows.select(SC.score_tracking(F.col("g"), F.col("r"), F.col("p")).alias("s"), SC.reward_tracking(F.col("g"), F.col("r"), F.col("p")).alias("v"))
+    assert str(SC.score_tracking(F.col("g"), F.col("r"), F.col("p"))).count("(?:px)?") == 3 * str(X.objects(F.col("g"))).count("(?:px)?")
+    row = out.first()
+    assert (row["s"]["tp"], row["s"]["fn"], row["s"]["id_checkable"], row["s"]["id_carried"]) == (1, 1, 1, 1) and abs(row["v"] - (0.5 * 2 / 3 + 0.5)) < 1e-9

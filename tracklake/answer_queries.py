@@ -124,8 +124,8 @@ def tracking_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     prompt = say("History:\nt-2s: #5 car 9m az+0deg; #88 bus 58m az+0deg\nt-1s: #{n} car 10m az+0deg; #777 truck 30m az+5deg\nNow?")
     want = say("#{n} car 10m az+0deg; #88 bus 60m az-3deg")
     got = say("#{a} car 10m az+0deg; #88 bus 60m az-3deg", a=F.when(even("d"), F.col("n")).otherwise(F.col("n") + 100))
-    out = lines(spark, sf_dir).withColumn("s", SC.score_tracking(got, want, prompt))
-    return out.select("l_orderkey", "n", "s.tp", "s.fp", "s.fn", "s.id_checkable", "s.id_carried", SC.reward_tracking(got, want, prompt).alias("reward"))
+    scored = SC.let(lambda s: F.struct(*[s[k].alias(k) for k in ("tp", "fp", "fn", "id_checkable", "id_carried")], SC.tracking_reward(s).alias("reward")), SC.score_tracking(got, want, prompt))
+    return lines(spark, sf_dir).withColumn("s", scored).select("l_orderkey", "n", "s.*")
 
 
 @query(f"""WITH {V}, c AS (SELECT f, unnest([{{'cls': 'car', 'tp': (q % 2 = 0)::int, 'fp': 0, 'fn': (q % 2)::int}}, {{'cls': 'truck', 'tp': 0, 'fp': 0, 'fn': 1}}, {{'cls': 'bus', 'tp': 0, 'fp': (q % 2)::int, 'fn': 0}}]) AS c FROM v)
