@@ -204,6 +204,20 @@ def test_claims(spark):
     assert one(spark, C.pad_options(F.create_map(F.lit("A"), F.lit("No"), F.lit("B"), F.lit("Yes")), ["no", "Maybe"])) == {"A": "No", "B": "Yes", "C": "Maybe"}
 
 
+def test_claims_of_repeated_texts(spark, capsys):
+    texts = [None, "", *(f"In Frame {i % 3} the EGO is at pos=({i}, -{i}.5) ; it is {i} m away. Frame 9: ſpeed of 3 m/s. Velocity of {i}.5 M/S" for i in range(12))]
+    order = [texts[random.Random(i).randrange(len(texts))] for i in range(90)]
+    want = [C.extract(t) for t in order]
+    for limits in ((50_000, 1 << 26), (5, 1 << 26), (50_000, 600)):
+        known = C.Remembered(*limits)
+        assert [c for lo in range(0, 90, 7) for c in known.of(pa.array(order[lo : lo + 7], pa.string())).to_pylist()] == want
+    assert len(C.Remembered().of(pa.array([], pa.string()))) == 0
+    found = C.claims(spark.createDataFrame([(i, t) for i, t in enumerate(order)], "i int, t string"), "t").select("i", F.explode("claims").alias("c"))
+    assert found.groupBy("i").count().count() == sum(map(bool, want))
+    found.explain()  # each text is read once, although the rows of an explode are filtered before it
+    assert capsys.readouterr().out.count("ArrowEvalPython") == 1
+
+
 def test_claim_checks(spark):
     ego = spark.createDataFrame([("c", t / 10, float(t), 0.0, 10.0) for t in range(30)], "clip_id string, t double, x double, y double, speed double")
     obj = spark.createDataFrame([("c", "1", t / 10, 40.0, 6.0, 0.0, 40.0 - t) for t in range(30)], "clip_id string, track_id string, t double, wx double, wy double, speed double, rng double")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,14 +46,44 @@ CHAINS = {
 #: How far before a distance a position may not stand, and the words for one.
 POSITION_REACH, POSITION_WORDS = 40, ("position", "coordinate", "pos=")
 
-_MENTIONS = {k: re.compile(p, re.I) for k, p in MENTIONS.items()}
+#: For any text, and for lower-cased ASCII text (searched much faster).
+_MENTIONS, _LOWER = ({k: re.compile(p, flags) for k, p in MENTIONS.items()} for flags in (re.I, 0))
+#: What lower-cased ASCII text must hold for each mention: without it, it isn't searched.
+_POSSIBLE = {
+    "ego": lambda s: "ego" in s, "forecast": lambda s: "predicted" in s or "projected" in s or "will be" in s or "expected" in s, "moment": lambda s: "=" in s, "pair": lambda s: "(" in s,
+    "position": lambda s: "(" in s and "pos" in s, "motion": lambda s: "speed" in s or "velocity" in s or "ing at" in s, "pace": lambda s: "m/s" in s,
+    "pace_of": lambda s: "m/s" in s and ("speed" in s or "velocity" in s), "length": lambda s: "is" in s,
+}
 _FRAME, _BREAK, _WORDS = re.compile(r"[Ff]rames?\s+(\d+)"), re.compile(r"(?<=[.!?])\s+"), re.compile(r"\w+")
 
+#: How many texts a task remembers, and the size of these and their claims above which it takes up no more.
+MAX_TEXTS, MAX_BYTES = 50_000, 64_000_000
+
 _CLAIM = T.StructType([
     T.StructField("kind", T.StringType()), T.StructField("frame", T.IntegerType()), T.StructField("horizon_s", T.DoubleType()),
     T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType()), T.StructField("value", T.DoubleType()),
     T.StructField("starts", T.ArrayType(T.IntegerType())), T.StructField("ends", T.ArrayType(T.IntegerType())), T.StructField("sentence", T.StringType()),
 ])
+_ARROW = pa.schema([
+    ("kind", pa.string()), ("frame", pa.int32()), ("horizon_s", pa.float64()), ("x", pa.float64()), ("y", pa.float64()), ("value", pa.float64()),
+    ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("sentence", pa.string()),
+])
+
+
+class Mentions(dict):
+    """The matches of each kind of mention, searched when first asked for."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.lower = text.lower() if text.isascii() else None
+
+    def __missing__(self, kind: str) -> list[re.Match]:
+        if self.lower is None:
+            found = list(_MENTIONS[kind].finditer(self.text))
+        else:
+            found = list(_LOWER[kind].finditer(self.lower)) if _POSSIBLE[kind](self.lower) else []
+        self[kind] = found
+        return found
 
 
 class Sentence:
@@ -60,7 +91,7 @@ class Sentence:
 
     def __init__(self, text: str, start: int):
         self.text, self.start = text, start
-        self.mentions = {k: list(p.finditer(text)) for k, p in _MENTIONS.items()}
+        self.mentions = Mentions(text)
 
     def chained(self, steps: tuple[tuple[str, int, str], ...], at: int = 0) -> Iterator[list[re.Match]]:
         """The chains of mentions, each from where the one before ended; of several the nearest mentions."""
@@ -87,9 +118,9 @@ class Sentence:
 
     def claims(self) -> Iterator[tuple[str, list[re.Match]]]:
         """(kind, chain) of all claims: kinds in the order of CHAINS, each in the order of the text."""
-        chains = {k: list(self.chained(steps)) for k, steps in CHAINS.items()}
-        forecasts = [(c[0].start(), c[-1].end()) for c in chains["future_pos"]]
-        owner = {c[-1].start(1): "ego" for c in chains["ego_pos"]}
+        chains = {k: list(self.chained(steps)) for k, steps in CHAINS.items() if self.mentions[steps[0][0]]}
+        forecasts = [(c[0].start(), c[-1].end()) for c in chains.get("future_pos", ())]
+        owner = {c[-1].start(1): "ego" for c in chains.get("ego_pos", ())}
         owner |= {m.start(1): "forecast" for m in self.mentions["position"] if any(a <= m.start(1) < b for a, b in forecasts)}
         for kind, found in chains.items():
             for chain in found:
@@ -139,16 +170,58 @@ def extract(text: str | None) -> list[dict]:
     return out
 
 
+def _columns(texts: list[str | None]) -> pa.Array:
+    """extract() of each text as one Arrow array, built by columns."""
+    every = [extract(t) for t in texts]
+    flat = [c for found in every for c in found]
+
+    def lists(values: list[list], kind: pa.DataType | None = None) -> pa.Array:
+        ends = np.cumsum([0, *map(len, values)], dtype=np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array([v for vs in values for v in vs], kind))
+
+    column = lambda f: lists([c[f.name] for c in flat], pa.int32()) if pa.types.is_list(f.type) else pa.array([c[f.name] for c in flat], f.type)
+    structs = pa.StructArray.from_arrays([column(f) for f in _ARROW], fields=list(_ARROW))
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, every)], dtype=np.int32)), structs)
+
+
+class Remembered:
+    """The claims of texts seen before in one Arrow array, from which rows are taken; it starts anew when full."""
+
+    def __init__(self, texts: int = MAX_TEXTS, size: int = MAX_BYTES):
+        self.limits = texts, size
+        self.clear()
+
+    def clear(self) -> None:
+        self.places: dict[str | None, int] = {}
+        self.chars, self.claims = 0, _columns([])
+
+    def of(self, texts: pa.Array) -> pa.Array:
+        """The claims of each text."""
+        coded = texts.dictionary_encode(null_encoding="encode")
+        distinct = coded.dictionary.to_pylist()
+        new = [t for t in distinct if t not in self.places]
+        if new and (len(self.places) + len(new) > self.limits[0] or self.chars + self.claims.nbytes > self.limits[1]):
+            self.clear()
+            new = distinct
+        if new:
+            self.places |= {t: i for i, t in enumerate(new, len(self.places))}
+            self.chars += sum(len(t or "") for t in new)
+            self.claims = pa.concat_arrays([self.claims, _columns(new)])
+        places = np.array([self.places[t] for t in distinct], np.int32)
+        return self.claims.take(pa.array(places[coded.indices.to_numpy()]))
+
+
 def claims(df: DataFrame, text: str, out: str = "claims") -> DataFrame:
-    """df with an array of the text's claims."""
+    """df with an array of the text's claims; a task reads a text that many rows have once, as far as it remembers it."""
 
     @F.arrow_udf(T.ArrayType(_CLAIM))
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        kind = pa.list_(pa.struct([("kind", pa.string()), ("frame", pa.int32()), ("horizon_s", pa.float64()), ("x", pa.float64()), ("y", pa.float64()), ("value", pa.float64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("sentence", pa.string())]))
+        known = Remembered()
         for texts in batches:
-            yield pa.array([extract(t.as_py()) for t in texts], kind)
+            yield known.of(texts)
 
-    return df.withColumn(out, run(F.col(text)))
+    # otherwise the filter that Catalyst infers from an explode of the claims reads every text a second time
+    return df.withColumn(out, run.asNondeterministic()(F.col(text)))
 
 
 def evaluate(found: DataFrame, ego: DataFrame, objects: DataFrame, window: float = 0.6, last_frame: int = 19) -> DataFrame:
