@@ -186,6 +186,18 @@ def test_correlation_policies_and_student(spark):
     assert np.isclose(ST.student_p(2.228, 10), 0.05, atol=2e-4) and ST.student_p(0, 5) == 1.0
 
 
+def test_objects_are_parsed_once(spark, capsys):
+    text = "x" * 300 + " ,;,, #7 car 5m; " + "van [1,2px,3,4]" + " stationary,car (1.5m, -2.0m, 3m) 4x2x1 m heading 7 vel 1m/s -2m/s stopped;" + ";, é\n" * 30_000 + "bus -6.5 m az +3 deg\tmoving"
+    seven, van, point, bus = one(spark, X.objects(F.lit(text)))
+    assert (seven["tid"], seven["cls"], seven["rng"], seven["az"], seven["has_az"]) == (7, "car", 5.0, 0.0, False)
+    assert (van["bbox"], van["moving"], van["rng"], van["az"]) == ([1.0, 2.0, 3.0, 4.0], False, None, None)
+    assert (point["size"], point["vel"], point["yaw"], point["attr"]) == ([4.0, 2.0, 1.0], [1.0, -2.0], -150.0, "stopped")
+    assert (bus["rng"], bus["az"], bus["moving"], bus["attr"]) == (-6.5, 3.0, True, "moving")
+    assert [one(spark, X.objects(F.lit(t))) for t in (None, "", ",,;", "car 5m/s")] == [[]] * 4
+    spark.createDataFrame([(text,)], "t string").select(X.objects(F.col("t")).alias("o")).explain()
+    assert capsys.readouterr().out.count("regexp_") == 1  # before, each part of an object had a pattern of its own
+
+
 def test_claims(spark):
     text = "In frame 3 the ego vehicle's velocity is (17.94, 1.53) m/s and its position is (90.22, 1.35). The ego vehicle's X-position is 349.69m. The red car has a speed of 6.79 m/s, around 17.6-17.9 m/s. It is 12.5 m away. The truck is predicted to be at t = 2.0 s at (5.0, 6.0)."
     got = [(c["kind"], c["frame"], c["x"], c["y"], c["value"]) for c in C.extract(text)]

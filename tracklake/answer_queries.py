@@ -139,11 +139,12 @@ def class_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {V} SELECT l_orderkey, n, 2 AS n_objects, n AS tid, NULL::int AS other_tid, (q + 5)::double AS ranges, -d::double AS azimuths, round(sqrt(q * q + d * d::double), 6) AS point_range, round(degrees(atan2(d, q)), 4) AS point_az, 12::double AS volume,
  CASE WHEN n % 12 * 30 >= 180 THEN n % 12 * 30 - 360 ELSE n % 12 * 30 END::double AS yaw, 'stopped' AS attr FROM v""")
 def parsed_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    polar, point = X.objects(say("#{n} car {q}m az-{d}deg moving; truck 5m")), X.objects(say("car ({q}.0m, +{d}.0m, 0.5m) size 4.0mx2.0mx1.5m heading {a} stopped", a=F.col("n") % 12))[0]
+    rows = lines(spark, sf_dir).select("l_orderkey", "n", X.objects(say("#{n} car {q}m az-{d}deg moving; truck 5m")).alias("polar"), X.objects(say("car ({q}.0m, +{d}.0m, 0.5m) size 4.0mx2.0mx1.5m heading {a} stopped", a=F.col("n") % 12))[0].alias("point"))
+    polar, point = F.col("polar"), F.col("point")
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, v: a + v)
     every = lambda k: total(F.transform(polar, lambda o: o[k]))
     volume = F.aggregate(point["size"], F.lit(1.0), lambda a, v: a * v)
-    return lines(spark, sf_dir).select("l_orderkey", "n", F.size(polar).alias("n_objects"), polar[0]["tid"].alias("tid"), polar[1]["tid"].alias("other_tid"), every("rng").alias("ranges"), every("az").alias("azimuths"), r(point["rng"], 6).alias("point_range"), r(point["az"], 4).alias("point_az"), volume.alias("volume"), point["yaw"].alias("yaw"), point["attr"].alias("attr"))
+    return rows.select("l_orderkey", "n", F.size(polar).alias("n_objects"), polar[0]["tid"].alias("tid"), polar[1]["tid"].alias("other_tid"), every("rng").alias("ranges"), every("az").alias("azimuths"), r(point["rng"], 6).alias("point_range"), r(point["az"], 4).alias("point_az"), volume.alias("volume"), point["yaw"].alias("yaw"), point["attr"].alias("attr"))
 
 
 _NAMES = ["det_objects_azdeg", "plan_ego_control", "plan_ego_xy", "agent_traj_xy", "radar_probe_coarse", "retrieval", "qa_cot", "desc_clip", "ood_reasoning", "odd"]

@@ -32,7 +32,7 @@ RATIONALE = r'(?s)"rationale"\s*:\s*"(.*?)"\s*,\s*"answer"\s*:\s*"(.*?)"\s*\}'
 CLAIM_WORDS = ["accelerating", "braking", "steady", "turning", "left", "right", "moving", "stationary", "closing", "receding", "none", "all", "some", "camera", "radar", "car", "cars", "truck", "trucks", "person", "people", "bus", "rider"]
 ANTONYMS = [("all", "none"), ("moving", "stationary"), ("closing", "receding"), ("accelerating", "braking"), ("left", "right")]
 
-_FIELDS = ["form", "tid", "cls", "moving", "x", "y", "z", "l", "w", "h", "yaw", "sector", "vx", "vy", "attr", "rng", "az", "x1", "y1", "x2", "y2"]
+_FIELDS = ["tid", "cls", "moving", "x", "y", "z", "l", "w", "h", "yaw", "sector", "vx", "vy", "attr", "rng", "az", "x1", "y1", "x2", "y2"]
 
 
 def found(text: Column, pattern: str, groups: int) -> Column:
@@ -48,27 +48,19 @@ def _number(c: Column) -> Column:
 def objects(text: Column) -> Column:
     """Every object of an answer: an array of structs in the order of the text.
 
-    The long pattern passes over the text once; each match is then read by the short pattern of its own form.
+    One replacement passes over the text and leaves the groups of each match, which hold neither commas nor semicolons:
+    a record for each object and an empty one for the rest of the text.
     """
     from .numbers import let
 
-    head, tail = r"^(?:#(\d+)\s+)?([a-z_]+)", r"(\s+moving|\s+stationary)?$"
-    forms = {"[": (f"{head}{_BOX}{tail}", 4), "(": (f"{head}{_POINT}{_EXTENT}{_TURN}{_MOTION}{tail}", 11), "": (f"{head}{_POLAR}{tail}", 2)}
+    groups = ["tid", "cls", "x1", "y1", "x2", "y2", "x", "y", "z", "l", "w", "h", "yaw", "sector", "vx", "vy", "attr", "rng", "az", "motion"]
+    records = F.regexp_replace(F.coalesce(text, F.lit("")), F.lit(rf"(?s:.*?)(?:{OBJECT}|\z)"), F.lit(",".join(f"${i}" for i in range(1, len(groups) + 1)) + ";"))
 
-    def one(m: Column) -> Column:
-        form = F.regexp_extract(m, rf"{head}\s*([\[(]?)", 3)
-
-        def part(kind: str, i: int) -> Column:
-            """The i-th group of the form's own part; null for other forms."""
-            return F.when(form == kind, F.nullif(F.regexp_extract(m, forms[kind][0], 2 + i), F.lit("")))
-
-        motion = F.regexp_extract(m, tail, 1).contains("moving")
-        number = lambda kind, i: part(kind, i).cast("double")
-        named = {"form": form, "tid": F.nullif(F.regexp_extract(m, head, 1), F.lit("")).cast("int"), "cls": F.regexp_extract(m, head, 2), "moving": motion}
-        named |= {k: number("(", i) for i, k in enumerate(("x", "y", "z", "l", "w", "h", "yaw", "sector", "vx", "vy"), 1)}
-        named |= {"attr": part("(", 11), "rng": number("", 1), "az": number("", 2)}
-        named |= {k: number("[", i) for i, k in enumerate(("x1", "y1", "x2", "y2"), 1)}
-        return let(built, *named.values())
+    def one(parts: Column) -> Column:
+        given = {k: F.nullif(F.get(parts, F.lit(i)), F.lit("")) for i, k in enumerate(groups)}
+        given |= {k: c.cast("double") for k, c in given.items() if k not in ("tid", "cls", "attr", "motion")}
+        given |= {"tid": given["tid"].cast("int"), "moving": F.coalesce(given["motion"].contains("moving"), F.lit(False))}
+        return let(built, *[given[k] for k in _FIELDS])
 
     def built(*values: Column) -> Column:
         v = dict(zip(_FIELDS, values, strict=True))
@@ -78,7 +70,7 @@ def objects(text: Column) -> Column:
             F.when(v["x"].isNotNull(), F.hypot(v["x"], v["y"])).otherwise(v["rng"]).alias("rng"),
             F.when(v["x"].isNotNull(), F.degrees(F.atan2(v["y"], v["x"]))).when(v["rng"].isNotNull(), F.coalesce(v["az"], F.lit(0.0))).alias("az"),
             v["x"].alias("x"), v["y"].alias("y"), v["z"].alias("z"),
-            F.when(v["form"] == "[", F.array(*[v[k] for k in ("x1", "y1", "x2", "y2")])).alias("bbox"),
+            F.when(v["x1"].isNotNull(), F.array(*[v[k] for k in ("x1", "y1", "x2", "y2")])).alias("bbox"),
             F.when(v["l"].isNotNull(), F.array(v["l"], v["w"], v["h"])).alias("size"),
             F.coalesce(v["yaw"], sector).alias("yaw"),
             F.when(v["vx"].isNotNull(), F.array(v["vx"], v["vy"])).alias("vel"),
@@ -87,7 +79,9 @@ def objects(text: Column) -> Column:
             (v["x"].isNotNull() | v["az"].isNotNull()).alias("has_az"),
         )
 
-    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(OBJECT), F.lit(0)), one)
+    # without the empty records, which stand last, and the empty fields at the end of the last object
+    filled = F.array_remove(F.split(F.rtrim(records, F.lit(",;")), ";"), "")
+    return F.transform(F.transform(filled, lambda m: F.split(m, ",")), one)
 
 
 def split_objects(text: Column) -> Column:
