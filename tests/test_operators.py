@@ -198,6 +198,14 @@ def test_objects_are_parsed_once(spark, capsys):
     assert capsys.readouterr().out.count("regexp_") == 1  # before, each part of an object had a pattern of its own
 
 
+def test_class_counts_of_repeated_answers(spark):
+    rows = [("a", "car 5m; bus 9m", "car 5m; truck 9m")] * 5 + [("a", "car 5m", None), ("b", None, "car 5m; car 8m"), ("b", "car 8m", "car 5m; car 8m"), ("b", "bus 5m", "")]
+    df = spark.createDataFrame(rows, "k string, g string, r string")
+    got = SC.per_class_of_texts(df, ["k"], F.col("g"), F.col("r")).collect()
+    assert got == SC.per_class(df.withColumn("score", SC.score_objects(F.col("g"), F.col("r"))), ["k"]).collect()
+    assert [(r["k"], r["cls"], r["tp"], r["fp"], r["fn"], r["n"]) for r in got] == [("a", "car", 5, 1, 0, 5), ("a", "truck", 0, 0, 5, 5), ("b", "car", 1, 0, 3, 4)]
+
+
 def test_claims(spark):
     text = "In frame 3 the ego vehicle's velocity is (17.94, 1.53) m/s and its position is (90.22, 1.35). The ego vehicle's X-position is 349.69m. The red car has a speed of 6.79 m/s, around 17.6-17.9 m/s. It is 12.5 m away. The truck is predicted to be at t = 2.0 s at (5.0, 6.0)."
     got = [(c["kind"], c["frame"], c["x"], c["y"], c["value"]) for c in C.extract(text)]

@@ -132,8 +132,7 @@ def tracking_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT f, c.cls AS cls, sum(c.tp)::bigint AS tp, sum(c.fp)::bigint AS fp, sum(c.fn)::bigint AS fn, sum(c.tp + c.fn)::bigint AS n, round(sum(c.tp) / greatest(sum(c.tp + c.fp), 1), 6) AS "precision", round(sum(c.tp) / greatest(sum(c.tp + c.fn), 1), 6) AS recall FROM c GROUP BY f, c.cls HAVING sum(c.tp + c.fn) > 0""")
 def class_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     want, got = F.lit("car 10m az+0deg; truck 40m az-20deg moving"), say("{a} {b}m az+0deg", a=F.when(even("q"), "car").otherwise("bus"), b=F.lit(10) + F.col("d") % 2)
-    rows = lines(spark, sf_dir).withColumn("score", SC.score_objects(got, want))
-    return SC.per_class(rows, ["f"]).select("f", "cls", "tp", "fp", "fn", "n", r("precision", 6).alias("precision"), r("recall", 6).alias("recall"))
+    return SC.per_class_of_texts(lines(spark, sf_dir), ["f"], got, want).select("f", "cls", "tp", "fp", "fn", "n", r("precision", 6).alias("precision"), r("recall", 6).alias("recall"))
 
 
 @query(f"""WITH {V} SELECT l_orderkey, n, 2 AS n_objects, n AS tid, NULL::int AS other_tid, (q + 5)::double AS ranges, -d::double AS azimuths, round(sqrt(q * q + d * d::double), 6) AS point_range, round(degrees(atan2(d, q)), 4) AS point_az, 12::double AS volume,
