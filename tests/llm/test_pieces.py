@@ -2,6 +2,7 @@ import hashlib
 import struct
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -98,3 +99,12 @@ def test_known_words_take_no_room_again():
     m.encode(["some plain words"])
     m.encode(["some plain words", "plain words", "some words"])
     assert m.held == sum(map(len, m.words))
+
+
+def test_results_go_on_in_slices():
+    texts = ["one two", None, "", "three  four\n", "é", "one", "two two two"]
+    got = list(pieces.encoded(iter([pa.array(texts, pa.string()), pa.array([], pa.string()), pa.array(["five"])]), MODEL, 3))
+    assert [len(g) for g in got] == [3, 3, 1, 0, 1]
+    rows = [r for g in got for r in g.to_pylist()]
+    assert [r["ids"] for r in rows] == [LIBRARY.encode(t or "") for t in [*texts, "five"]] and all(r["round_trip"] for r in rows)
+    assert not MODEL.words and not MODEL.pairs

@@ -33,6 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .words import release
+
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 #: Words and pairs that a worker remembers before it starts anew.
@@ -296,7 +298,7 @@ class PieceModel:
         self.words.clear()
         self.pairs.clear()
         self.held = 0
-        pa.default_memory_pool().release_unused()
+        release()
 
     def decode(self, ids: np.ndarray | list[int]) -> str:
         """The text of piece ids; the mark of the first word isn't a space of the text."""
@@ -315,6 +317,19 @@ _PIECES = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.St
 _MODELS: dict[int, PieceModel] = {}
 
 
+def encoded(batches: Iterator[pa.Array], m: PieceModel, rows_at_once: int) -> Iterator[pa.Array]:
+    """The results of so many rows after each other: the ids of a whole batch are never held together."""
+    for column in batches:
+        for lo in range(0, len(column), rows_at_once) or [0]:
+            texts = column.slice(lo, rows_at_once).to_pylist()
+            ids = m.encode(texts)
+            same = [m.decode(i) == (t or "").replace(MARK, " ") for i, t in zip(ids, texts, strict=True)]
+            ends = np.concatenate(([0], np.cumsum([len(i) for i in ids], dtype=np.int64))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32)))
+            yield pa.StructArray.from_arrays([lists, pa.array(same, pa.bool_())], ["ids", "round_trip"])
+    m.forget()
+
+
 def encode(df: DataFrame, model: bytes, text: str = "text", out: str = "pieces", rows_at_once: int = 300) -> DataFrame:
     """df with a struct column ``out``: ids, and whether decoding them gives the text again.
 
@@ -327,18 +342,7 @@ def encode(df: DataFrame, model: bytes, text: str = "text", out: str = "pieces",
         key = hash(shared.value)
         if key not in _MODELS:
             _MODELS[key] = PieceModel(shared.value)
-        m = _MODELS[key]
-        for column in batches:
-            found, same = [], []
-            for lo in range(0, len(column), rows_at_once):
-                texts = column.slice(lo, rows_at_once).to_pylist()
-                ids = m.encode(texts)
-                found += ids
-                same += [m.decode(i) == (t or "").replace(MARK, " ") for i, t in zip(ids, texts, strict=True)]
-            ends = np.concatenate(([0], np.cumsum([len(i) for i in found], dtype=np.int64))).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found) if found else np.empty(0, np.int32)))
-            yield pa.StructArray.from_arrays([lists, pa.array(same, pa.bool_())], ["ids", "round_trip"])
-        m.forget()
+        yield from encoded(batches, _MODELS[key], rows_at_once)
 
     return df.withColumn(out, run(F.col(text)))
 

@@ -5,12 +5,24 @@ A word is a maximal run of characters other than U+0020 and U+0009 to U+000D.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
+import pyarrow as pa
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _S30, _S27, _S31 = np.uint64(30), np.uint64(27), np.uint64(31)
 
 
+def release() -> None:
+    """Give memory that Python and Arrow no longer use back to the system: workers live on and serve other stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # only glibc has it
+        pass
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers under which nearby values become unrelated (splitmix64)."""
     x = x + _A
